@@ -81,11 +81,12 @@ def key_copies(df: DataFrame, name: str = "_key", chunk: int = 100_000) -> DataF
     counted = df.groupBy(F.sha2(content, 256).alias("_hash")).agg(
         F.min_by(body, content).alias("_row"), F.count("*").alias("_n")
     )
-    spans = counted.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / chunk))).alias("_span"))
+    flat = counted.select("_row.*", "_hash", "_n")
+    spans = flat.withColumn("_span", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / chunk))))
     spans = spans.repartition("_hash", "_span")
-    first = F.col("_span") * chunk
-    copies = F.sequence(first, F.least(first + chunk, F.col("_n")) - 1)
-    out = spans.select("_row.*", "_hash", F.explode(copies).alias("_copy"))
+    begin = F.col("_span") * chunk
+    copies = F.sequence(begin, F.least(begin + chunk, F.col("_n")) - 1)
+    out = spans.withColumn("_copy", F.explode(copies)).drop("_n", "_span")
     key = F.concat(F.lit("r"), "_hash", F.lit("/"), F.col("_copy").cast("string"))
     return out.withColumn(name, key).drop("_hash", "_copy")
 
