@@ -1 +1,299 @@
-"""Queries."""
+"""Page queries B1 to B15: over the page table, and over pages that Spark builds from the catalog tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog_queries import register
+from catalog_queries import site_pages as P
+from streetbook.functions import contacts as N
+from streetbook.operators import extract as X
+
+LISTED = """
+    WITH named AS (SELECT id, id // 20 AS block, CASE WHEN id % 7 = 0 THEN concat(name, ' again') ELSE name END AS name
+                   FROM companies WHERE id % 9 <> 0 OR id % 7 = 0)
+    SELECT block, CAST(id AS STRING) AS external_id, CASE WHEN id % 9 = 0 THEN 'again' ELSE name END AS name,
+           concat('https://dir.example.org/north/com/p_', CAST(id AS STRING), '/') AS link, CAST(pos AS INT) AS pos
+    FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY id) - 1 AS pos FROM named) q WHERE pos < 15"""
+
+
+@register("b01_listing_links", LISTED)
+def b01(fx):
+    links = X.listing_links(
+        P.listing_pages(fx.companies), "/north/com/", "https://dir.example.org", 15, ("block",), "companies__item-title-text"
+    )
+    return links
+
+
+@register(
+    "b02_listing_cards",
+    """SELECT name, address, phone, rating,
+              CASE WHEN id % 2 = 0 THEN concat('https://msk.yp.ru/firm/', CAST(id AS STRING))
+                   ELSE concat('http://other.example/', CAST(id AS STRING)) END AS link
+       FROM companies WHERE id % 8 <> 0""",
+)
+def b02(fx):
+    cards = X.listing_cards(P.card_pages(fx.companies), F.lit("msk"))
+    return cards.select("name", "address", "phone", "rating", "link")
+
+
+@register(
+    "b03_pattern_links",
+    """WITH found AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS link,
+                             unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS name,
+                             generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1), 1) AS i
+                      FROM pages),
+            clean AS (SELECT page_id, i, replace(replace(link, '&amp;', '&'), '&quot;', '"') AS link,
+                             trim(replace(replace(name, '&amp;', '&'), '&quot;', '"')) AS name FROM found),
+            kept AS (SELECT page_id, name, MIN(i) AS i FROM clean WHERE contains(link, 't') AND length(name) > 2
+                     GROUP BY page_id, name),
+            ranked AS (SELECT k.page_id, k.name, c.link, row_number() OVER (PARTITION BY k.page_id ORDER BY k.i) - 1 AS pos
+                       FROM kept k JOIN clean c ON c.page_id = k.page_id AND c.i = k.i)
+       SELECT page_id, CAST(pos AS INT) AS pos, name, link FROM ranked WHERE pos < 3""",
+)
+def b03(fx):
+    return X.pattern_links(fx.pages, "t", 3, ("page_id",))
+
+
+@register(
+    "b04_detail_heading",
+    """SELECT page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&'),
+              '&quot;', '"'), '\\s+', ' ', 'g')) AS name FROM pages""",
+)
+def b04(fx):
+    return X.detail_fields(fx.pages, "microdata", ("page_id",)).select("page_id", "name")
+
+
+@register(
+    "b04_detail_microdata",
+    """SELECT id, name, phone, address, rating, CASE WHEN review_count > 0 THEN review_count END AS review_count, website,
+              concat('box', CAST(id AS STRING), '@mail.example') AS email FROM companies""",
+)
+def b04_micro(fx):
+    return X.detail_fields(P.detail_pages(fx.companies), "microdata", ("id",))
+
+
+@register(
+    "b05_detail_cards",
+    """SELECT id, name, trim(description, concat(' ', chr(9), chr(10))) AS description, address,
+              CASE WHEN phone IS NULL THEN '' ELSE concat(phone, '|+7 000') END AS phones, website,
+              concat('box', CAST(id AS STRING), '@mail.example') AS email, hours_line AS schedule, rating, review_count
+       FROM companies""",
+)
+def b05(fx):
+    fields = X.detail_fields(P.card_site_pages(fx.companies), "cards", ("id",))
+    return fields.withColumn("phones", F.array_join("phones", "|"))
+
+
+@register("b06_detail_rendered", "SELECT id, phone, address, website FROM companies")
+def b06(fx):
+    return X.detail_fields(P.rendered_pages(fx.companies), "rendered", ("id",))
+
+
+def _trees(fx, **parts):
+    return X.with_tree(P.detail_pages(fx.companies, **parts))
+
+
+@register(
+    "b07_opening_hours",
+    "SELECT id, CASE WHEN id % 3 = 2 THEN '' ELSE hours_line END AS hours FROM companies",
+)
+def b07(fx):
+    return _trees(fx).select("id", F.array_join(X.hours_column(F.col("tree")), "|").alias("hours"))
+
+
+@register(
+    "b08_social_links",
+    """SELECT id, 'vk' AS network, concat('https://vk.com/c', CAST(id AS STRING), '|https://t.me/vk.com', CAST(id AS STRING))
+                  AS links FROM companies
+       UNION ALL SELECT id, 'telegram', concat('https://t.me/vk.com', CAST(id AS STRING)) FROM companies""",
+)
+def b08(fx):
+    rows = _trees(fx).select("id", F.explode(X.social_column(F.col("tree"))).alias("network", "urls"))
+    return rows.select("id", "network", F.array_join("urls", "|").alias("links"))
+
+
+@register(
+    "b09_gallery",
+    """SELECT id, 0 AS pos, concat('/imager/k/100x80/responses/', CAST(id AS STRING), '.jpg') AS preview, '100x80' AS size,
+              concat('https://image2.yell.ru/responses/', CAST(id AS STRING), '.jpg') AS original FROM companies
+       UNION ALL SELECT id, 1, concat('/imager/k/50x40/responses/b', CAST(id AS STRING), '.jpg'), '50x40',
+              concat('https://image2.yell.ru/responses/b', CAST(id AS STRING), '.jpg') FROM companies""",
+)
+def b09(fx):
+    rows = _trees(fx).select("id", F.posexplode(X.gallery_column(F.col("tree"))).alias("pos", "i"))
+    return rows.select("id", "pos", "i.preview", F.col("i.preview_size").alias("size"), "i.original")
+
+
+@register(
+    "b10_features",
+    """SELECT company_id AS id, title, CAST(COUNT(*) AS STRING) AS count, string_agg(name, '|' ORDER BY name) AS items
+       FROM (SELECT DISTINCT ct.company_id, coalesce(t.category, 'Plain') AS title, t.name
+             FROM company_tags ct JOIN tags t ON t.id = ct.tag_id) q GROUP BY company_id, title""",
+)
+def b10(fx):
+    trees = _trees(fx, company_tags=fx.company_tags, tags=fx.tags)
+    rows = trees.select("id", F.explode(X.feature_groups_column(F.col("tree"))).alias("title", "body"))
+    return rows.select("id", "title", "body.count", F.array_join("body.items", "|").alias("items"))
+
+
+@register(
+    "b10_flat_features",
+    """SELECT c.id, coalesce(q.features, '') AS features FROM companies c LEFT JOIN
+       (SELECT company_id, string_agg(name, '|' ORDER BY coalesce(category, 'Plain'), name) AS features
+        FROM company_tags ct JOIN tags t ON t.id = ct.tag_id GROUP BY company_id) q ON q.company_id = c.id""",
+)
+def b10_flat(fx):
+    trees = _trees(fx, company_tags=fx.company_tags, tags=fx.tags)
+    return trees.select(
+        "id", F.array_join(X.flat_features(X.feature_groups_column(F.col("tree"))), "|").alias("features")
+    )
+
+
+MENU = """SELECT m.company_id AS id, m.section, s.section_pos, m.pos, m.name, m.price,
+                 CASE WHEN m.pos % 2 = 0 THEN concat(CAST(m.pos * 50 AS STRING), ' г') {other} END AS portion
+          FROM menu_fresh m JOIN (SELECT company_id, section, row_number() OVER (PARTITION BY company_id ORDER BY section)
+                                         AS section_pos FROM (SELECT DISTINCT company_id, section FROM menu_fresh) d) s
+               ON s.company_id = m.company_id AND s.section = m.section
+               JOIN companies c ON c.id = m.company_id
+          WHERE m.company_id % 6 {which}"""
+
+
+@register("b11_menu_rows", MENU.format(which="> 1", other=""))
+def b11(fx):
+    trees = _trees(fx, menu=fx.menu_fresh)
+    return X.menu_long(trees.select("id", X.menu_column(F.col("tree")).alias("menu")), "id")
+
+
+@register(
+    "b12_menu_json",
+    MENU.format(which="<= 1", other="").replace("END AS portion", "ELSE '' END AS portion").replace(
+        "' г')", "' г')").replace("concat(CAST(m.pos * 50 AS STRING), ' г')", "concat('за ', CAST(m.pos * 50 AS STRING), ' г')"),
+)
+def b12(fx):
+    trees = _trees(fx, menu=fx.menu_fresh).filter("id % 6 <= 1")
+    return X.menu_long(trees.select("id", X.full_menu(F.col("tree"), F.col("html")).alias("menu")), "id")
+
+
+@register(
+    "b13_url_keys",
+    r"""SELECT id, nullif(regexp_extract(url, '/([^/]+)/$', 1), '') AS key, CAST(id AS STRING) AS number,
+               CASE WHEN id % 2 = 0 THEN concat('c', CAST(id AS STRING)) END AS sub FROM companies""",
+)
+def b13(fx):
+    site = F.when(F.col("id") % 2 == 0, F.concat(F.lit("https://c"), F.col("id").cast("string"), F.lit(".yp.ru/"))).otherwise(
+        F.col("url")
+    )
+    rows = fx.companies.withColumn("site", site)
+    return rows.select(
+        "id", N.url_key("url").alias("key"), N.url_number("url").alias("number"), N.url_subdomain("site").alias("sub")
+    )
+
+
+@register(
+    "b14_block_page",
+    """SELECT page_id, contains(t, 'DDoS') OR contains(t, 'Guard') AS blocked
+       FROM (SELECT page_id, CASE WHEN page_id % 9 = 0 THEN concat(regexp_extract(html, '<title>(.*?)</title>', 1), ' DDoS-Guard')
+                                  ELSE regexp_extract(html, '<title>(.*?)</title>', 1) END AS t FROM pages) q""",
+)
+def b14(fx):
+    guarded = F.when(
+        F.col("page_id") % 9 == 0, F.replace("html", F.lit("</title>"), F.lit(" DDoS-Guard</title>"))
+    ).otherwise(F.col("html"))
+    trees = X.with_tree(fx.pages.withColumn("html", guarded))
+    return trees.select("page_id", N.is_block_page(X.title_column(F.col("tree"))).alias("blocked"))
+
+
+@register(
+    "b15_page_description",
+    """SELECT id, CASE WHEN description IS NULL THEN NULL
+                  ELSE concat('Line one of ', name, chr(10), chr(10), 'line two') END AS description FROM companies""",
+)
+def b15(fx):
+    text = F.when(
+        F.col("description").isNotNull(),
+        F.concat(F.lit("Line  one of "), F.col("name"), F.lit("\n\n\nline two. Информация  скопирована с Yell.ru вчера")),
+    )
+    trees = X.with_tree(P.detail_pages(fx.companies.withColumn("description", text)))
+    body = X.description_column(F.col("tree"))
+    return trees.select("id", F.regexp_replace(body, r"\.$", "").alias("description"))
+
+
+@register(
+    "b00_extract_pages",
+    """SELECT c.id, c.name, c.phone, c.address, c.rating, c.website, coalesce(m.n, 0) AS menu_items,
+              coalesce(t.n, 0) AS features, 2 AS images
+       FROM companies c LEFT JOIN (SELECT company_id, COUNT(*) AS n FROM menu_fresh GROUP BY company_id) m ON m.company_id = c.id
+            LEFT JOIN (SELECT company_id, COUNT(*) AS n FROM company_tags GROUP BY company_id) t ON t.company_id = c.id""",
+)
+def b00(fx):
+    pages = P.detail_pages(fx.companies, fx.menu_fresh, fx.company_tags, fx.tags)
+    out = X.extract_pages(pages, ("id",))
+    items = F.aggregate(F.map_values("menu"), F.lit(0).cast("bigint"), lambda acc, v: acc + F.size(v))
+    return out.select(
+        "id", "name", "phone", "address", "rating", "website", items.alias("menu_items"),
+        F.size("features").cast("bigint").alias("features"), F.size("images").alias("images"),
+    )
+
+
+@register(
+    "flow_menu_refresh",
+    """WITH o AS (SELECT company_id, COUNT(*) AS n FROM menu_old GROUP BY company_id),
+            f AS (SELECT company_id, COUNT(*) AS n FROM menu_fresh GROUP BY company_id)
+       SELECT o.company_id AS id, CASE WHEN o.company_id % 10 = 9 THEN 'fetch_failed' WHEN f.n IS NULL THEN 'no_menu_on_page'
+                                       WHEN f.n > o.n THEN concat('more_items (+', CAST(f.n - o.n AS STRING), ')') END AS reason
+       FROM o JOIN companies c ON c.id = o.company_id LEFT JOIN f ON f.company_id = o.company_id
+       WHERE o.company_id % 10 = 9 OR f.n IS NULL OR f.n > o.n""",
+)
+def menu_flow(fx):
+    from streetbook.plans.menu_refresh import refresh_menus
+
+    pages = P.detail_pages(fx.companies, fx.menu_fresh).withColumn("html", F.when(F.col("id") % 10 != 9, F.col("html")))
+    items = F.collect_list(F.struct("pos", "name", "price"))
+    sections = fx.menu_old.groupBy("company_id", "section").agg(F.sort_array(items).alias("items"))
+    menus = sections.withColumn(
+        "items", F.transform("items", lambda i: F.struct(i["name"], i["price"], F.lit(None).cast("string").alias("portion")))
+    ).groupBy(F.col("company_id").alias("id"))
+    menus = menus.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("section", "items")))).alias("menu"))
+    companies = fx.companies.join(menus, "id")
+    log = refresh_menus(companies, pages.select("url", "html")).log
+    return log.filter("reason rlike '^(fetch|no_menu|more)'").select("id", "reason")
+
+
+CRAWLED = """WITH ranked AS (SELECT c.*, ci.weight, row_number() OVER (PARTITION BY c.city_id, c.source ORDER BY c.id) AS rn
+                             FROM companies c JOIN cities ci ON ci.id = c.city_id),
+                  looked AS (SELECT *, rating + 0 >= 4.0 AND review_count >= 5 AS good FROM ranked)
+             SELECT city_id, source AS category, COUNT(CASE WHEN good THEN 1 END) AS saved,
+                    COUNT(CASE WHEN NOT coalesce(good, FALSE) THEN 1 END) AS skipped FROM looked GROUP BY city_id, source"""
+
+
+@register("flow_ingest", CRAWLED)
+def ingest_flow(fx):
+    """All pages of the catalog through extraction, gate, normaliser, moderation, upsert and tags."""
+    from streetbook.plans.ingest import ingest_pages
+
+    pages = P.detail_pages(fx.companies, fx.menu_fresh, fx.company_tags, fx.tags)
+    pages = pages.join(fx.companies.select("id", F.col("source").alias("source_category")), "id")
+    pages = pages.withColumn("pos", F.col("id")).drop("id")
+    cat = fx.catalog("cities", "categories", "company_categories", "tags", "company_tags", companies=fx.companies.drop("hours_line"))
+    run = ingest_pages(cat, pages, F.lit("2024-01-01").cast("date"))
+    counts = run.outcomes.groupBy("city_id", "category").agg(
+        F.count(F.when(F.col("outcome") == "saved", 1)).alias("saved"),
+        F.count(F.when(F.col("outcome") == "skipped", 1)).alias("skipped"),
+    )
+    return counts
+
+
+@register(
+    "flow_ingest_companies",
+    """SELECT c.id, c.name, CASE WHEN c.rating >= 4.0 AND c.review_count >= 5 AND c.city_id IS NOT NULL THEN '2024-01-01'
+                                 ELSE CAST(c.parsed_at AS STRING) END AS parsed_at FROM companies c""",
+)
+def ingest_companies(fx):
+    from streetbook.plans.ingest import ingest_pages
+
+    pages = P.detail_pages(fx.companies).withColumn("pos", F.col("id"))
+    pages = pages.join(fx.companies.select("id", F.col("source").alias("source_category")), "id").drop("id")
+    cat = fx.catalog("cities", "categories", "company_categories", "tags", "company_tags", companies=fx.companies.drop("hours_line"))
+    run = ingest_pages(cat, pages, F.lit("2024-01-01").cast("date"))
+    return run.catalog.companies.select("id", "name", F.col("parsed_at").cast("string").alias("parsed_at"))
