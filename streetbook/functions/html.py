@@ -107,11 +107,14 @@ TREE_TYPE = T.StructType(
 )
 
 
-@F.arrow_udf(TREE_TYPE)
-def _page_tree(html: pa.Array) -> pa.Array:
+def _parse_batch(html: pa.Array) -> pa.Array:
     return pa.array([_parse(page) for page in html.to_pylist()], type=_TREE)
 
 
+# Not marked as repeatable, so that the optimizer parses a page once and not once more for each filter on its tree.
+_page_tree = F.arrow_udf(_parse_batch, TREE_TYPE).asNondeterministic()
+
+
 def page_tree(html: Column | str) -> Column:
     return _page_tree(col(html))
 

@@ -13,6 +13,10 @@ from streetbook.functions.expr import col, let, replace_all, squeeze, trim_all
 CAPITAL = "[А-ЯA-Z]"
 SMALL = "[а-яa-z]"
 
+# A match that starts inside a line would also start at the line's first character, or where the last match ended.
+# Tying the search to these two places keeps it linear in the length of the text.
+ANCHOR = r"(?:^|\G)"
+
 
 def _block_rules(heading: str, end: str) -> list[tuple[str, str]]:
     """A block goes from its heading to the next empty line, the other block or the end of the text."""
@@ -45,8 +49,8 @@ def format_text(text: Column | str, phrases: Sequence[str] = P.LONG_TEXT_PHRASES
         (r"[ \t]+", " "),
         (rf"(?U)\?(\s+)(?={CAPITAL})", "?\n$1"),
         (rf"(?U)!(\s+)(?={CAPITAL})", "!\n\n$1"),
-        (rf"(?dU)(.{{{min_sentence},}}\.)(\s+)(?={CAPITAL})", "$1\n\n$2"),
-        *[(rf"(?dU)(\S.*?)(\Q{p}\E)", "$1\n\n$2") for p in phrases],
+        (rf"(?dmU){ANCHOR}(.{{{min_sentence},}}\.)(\s+)(?={CAPITAL})", "$1\n\n$2"),
+        *[(rf"(?dmU){ANCHOR}([^\S\n]*\S.*?)(\Q{p}\E)", "$1\n\n$2") for p in phrases],
         (r"\n{3,}", "\n\n"),
         (r"(?dm)^ +", ""),
     ]
@@ -63,7 +67,7 @@ def format_description(
         (r"[ \t]{2,}", " "),
         (rf"(?U)\?\s+(?={CAPITAL})", "?\n"),
         (rf"(?U)!\s+(?={CAPITAL})", "!\n\n"),
-        (rf"(?dU)(.{{30,}}\.)(\s+)(?={CAPITAL}{SMALL})", "$1\n\n"),
+        (rf"(?dmU){ANCHOR}(.{{30,}}\.)(\s+)(?={CAPITAL}{SMALL})", "$1\n\n"),
         *[(rf"(?iuU)([.!?])\s+(\Q{p}\E)", "$1\n\n$2") for p in phrases],
         (rf"(?U),\s+(?={CAPITAL}{SMALL}{{3,}}\s+)(?![^\n]{{0,50}}\n)", ",\n"),
         (r"\n{3,}", "\n\n"),
@@ -76,7 +80,7 @@ def format_smart(text: Column | str, phrases: Sequence[str] = P.REFRESH_PHRASES)
     """Paragraphs for a refreshed description."""
     steps = [
         (r"[ \t]+", " "),
-        (rf"(?dU)(.{{150,}}[.!?])(\s+)(?={CAPITAL})", "$1\n\n$2"),
+        (rf"(?dmU){ANCHOR}(.{{150,}}[.!?])(\s+)(?={CAPITAL})", "$1\n\n$2"),
         *[(rf"(?U)([.!?])\s+(\Q{p}\E)", "$1\n\n$2") for p in phrases],
         (r"\n{3,}", "\n\n"),
     ]

@@ -98,7 +98,7 @@ def max_id(df: DataFrame, column: str = "id") -> DataFrame:
 def union_aligned(left: DataFrame, right: DataFrame) -> DataFrame:
     """Union with the left side's columns and types; columns that the right side lacks are null."""
     cols = [
-        (F.col(f.name) if f.name in right.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        (F.col(f.name) if f.name in right.columns else F.lit(None)).cast(f.dataType.simpleString()).alias(f.name)
         for f in left.schema.fields
     ]
     return left.unionByName(right.select(*cols))

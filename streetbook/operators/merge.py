@@ -93,10 +93,10 @@ def upsert_companies(
     hit = F.col("_in").isNotNull()
     out: list[Column] = []
     for field in cur.schema.fields:
-        new = _incoming_value(field.name, inc).cast(field.dataType)
+        new = _incoming_value(field.name, inc).cast(field.dataType.simpleString())  # by name: elements may be null
         old = F.col(field.name)
         if field.name == "parsed_at":
-            out.append(F.when(hit, as_of.cast(field.dataType)).otherwise(old).alias(field.name))
+            out.append(F.when(hit, as_of.cast(field.dataType.simpleString())).otherwise(old).alias(field.name))
         elif field.name not in UPSERT_FIELDS:
             out.append(old)
         elif mode == "overwrite":
