@@ -9,6 +9,13 @@ FOOTERS = [
     r"(?isu)Описание скопировано с Yell\.ru.*$",
     r"(?isu)Текст скопирован с Yell\.ru.*$",
 ]
+FOOTER_MARKERS = [
+    "ищите нас в соцсетях:",
+    "информация скопирована с yell.ru",
+    "описание скопировано с yell.ru",
+    "текст скопирован с yell.ru",
+]
+SOCIAL_MARKER = "ищите нас в соцсетях"
 PAGE_FOOTER = r"(?isuU)(?:Описание|Информация|Текст)\s+скопирован[ао]?\s+с\s+Yell\.ru.*"
 SOCIAL_FOOTER = r"(?isu)Ищите нас в соцсетях.*$"
 

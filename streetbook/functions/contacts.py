@@ -47,8 +47,8 @@ def extract_website(
     def from_host(found: Column) -> Column:
         t, site = found["text"], found["website"]
 
-        def build(hit: Column) -> Column:
-            host, whole = hit["host"], hit["whole"]
+        def build(whole: Column) -> Column:
+            host = F.substring_index(whole, "/", 1)
             known = F.lower(host).isin(list(common_hosts))
             own = _names_host(host, own_hosts)
             if strict:
@@ -65,10 +65,7 @@ def extract_website(
                 F.coalesce(site, F.when(ok, F.concat(F.lit("https://"), whole))).alias("website"),
             )
 
-        hit = F.struct(
-            F.regexp_extract(t, pattern, 1).alias("host"), F.regexp_extract(t, pattern, 0).alias("whole")
-        )
-        return let(hit, build)
+        return let(F.regexp_extract(t, pattern, 0), build)
 
     return let(col(text), lambda t: let(from_url(t), from_host))
 

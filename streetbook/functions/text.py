@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,73 +19,96 @@ SMALL = "[а-яa-z]"
 ANCHOR = r"(?:^|\G)"
 
 
-def _block_rules(heading: str, end: str) -> list[tuple[str, str]]:
+@dataclass(frozen=True)
+class Cut:
+    """A replacement that can only apply where the lower-cased text holds ``marker``."""
+
+    marker: str
+    pattern: str
+    replacement: str = ""
+
+
+def _apply_cuts(text: Column, cuts: Sequence[Cut]) -> Column:
+    """Apply cuts in order. Most texts hold few markers or none, and a plain search for them is far cheaper than a
+    pass of every pattern; no cut can bring in the marker of another."""
+    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in vars(c).items()]) for c in cuts])
+
+    def run(t: Column) -> Column:
+        present = let(F.lower(t), lambda low: F.filter(table, lambda c: F.contains(low, c["marker"])))
+        return F.aggregate(present, t, lambda acc, c: F.regexp_replace(acc, c["pattern"], c["replacement"]))
+
+    return let(text, run)
+
+
+def _block_rules(heading: str, end: str) -> list[Cut]:
     """A block goes from its heading to the next empty line, the other block or the end of the text."""
-    tail = rf"{heading}:.*?($|\n\n|\n{end})"
-    return [(rf"(?isu)\n\n{tail}", "\n\n"), (rf"(?isu)\n{tail}", "\n")] * 2
+    marker, tail = f"{heading}:".lower(), rf"{heading}:.*?($|\n\n|\n{end})"
+    return [Cut(marker, rf"(?isu)\n\n{tail}", "\n\n"), Cut(marker, rf"(?isu)\n{tail}", "\n")] * 2
 
 
-BOILERPLATE: list[tuple[str, str]] = [
-    *[(footer, "") for footer in P.FOOTERS],
+FOOTERS = [Cut(marker, pattern) for marker, pattern in zip(P.FOOTER_MARKERS, P.FOOTERS)]
+BOILERPLATE: list[Cut] = [
+    *FOOTERS,
     *_block_rules(P.FEATURES_HEADING, P.MENU_BLOCK_END),
     *_block_rules(P.MENU_HEADING, P.FEATURES_BLOCK_END),
-    (rf"(?isu){P.FEATURES_HEADING}:.*$", ""),
-    (rf"(?isu){P.MENU_HEADING}:.*$", ""),
+    Cut(f"{P.FEATURES_HEADING}:".lower(), rf"(?isu){P.FEATURES_HEADING}:.*$"),
+    Cut(f"{P.MENU_HEADING}:".lower(), rf"(?isu){P.MENU_HEADING}:.*$"),
 ]
 
 
-def remove_boilerplate(text: Column | str, patterns: Sequence[tuple[str, str]] = BOILERPLATE) -> Column:
+def remove_boilerplate(text: Column | str, cuts: Sequence[Cut] = BOILERPLATE) -> Column:
     """Cut directory footers and generated blocks."""
-    return replace_all(col(text), patterns)
+    return _apply_cuts(col(text), cuts)
 
 
-def remove_footers(text: Column | str, footers: Sequence[str] = P.FOOTERS) -> Column:
+def remove_footers(text: Column | str, footers: Sequence[Cut] = FOOTERS) -> Column:
     """Cut directory footers only, then trim."""
-    return trim_all(replace_all(col(text), [(f, "") for f in footers]))
+    return trim_all(_apply_cuts(col(text), footers))
 
 
 def format_text(text: Column | str, phrases: Sequence[str] = P.LONG_TEXT_PHRASES, min_sentence: int = 100) -> Column:
     """Paragraphs for a long text without line breaks."""
-    steps = [
+    sentences = [
         (r"[ \t]+", " "),
         (rf"(?U)\?(\s+)(?={CAPITAL})", "?\n$1"),
         (rf"(?U)!(\s+)(?={CAPITAL})", "!\n\n$1"),
         (rf"(?dmU){ANCHOR}(.{{{min_sentence},}}\.)(\s+)(?={CAPITAL})", "$1\n\n$2"),
-        *[(rf"(?dmU){ANCHOR}([^\S\n]*\S.*?)(\Q{p}\E)", "$1\n\n$2") for p in phrases],
-        (r"\n{3,}", "\n\n"),
-        (r"(?dm)^ +", ""),
     ]
-    return trim_all(replace_all(col(text), steps))
+    cuts = [Cut(p.lower(), rf"(?dmU){ANCHOR}([^\S\n]*\S.*?)(\Q{p}\E)", "$1\n\n$2") for p in phrases]
+    split = _apply_cuts(replace_all(col(text), sentences), cuts)
+    return trim_all(replace_all(split, [(r"\n{3,}", "\n\n"), (r"(?dm)^ +", "")]))
 
 
 def format_description(
-    text: Column | str, phrases: Sequence[str] = P.PAGE_PHRASES, social_footer: str = P.SOCIAL_FOOTER
+    text: Column | str, phrases: Sequence[str] = P.PAGE_PHRASES, social_footer: Cut = Cut(P.SOCIAL_MARKER, P.SOCIAL_FOOTER)
 ) -> Column:
     """Paragraphs for a description taken from a page, where line breaks may split words."""
-    steps = [
+    sentences = [
         (r"(?U)(\p{L})\n+(\p{L})", "$1$2"),
         (rf"([.!?])({CAPITAL})", "$1 $2"),
         (r"[ \t]{2,}", " "),
         (rf"(?U)\?\s+(?={CAPITAL})", "?\n"),
         (rf"(?U)!\s+(?={CAPITAL})", "!\n\n"),
         (rf"(?dmU){ANCHOR}(.{{30,}}\.)(\s+)(?={CAPITAL}{SMALL})", "$1\n\n"),
-        *[(rf"(?iuU)([.!?])\s+(\Q{p}\E)", "$1\n\n$2") for p in phrases],
+    ]
+    cuts = [Cut(p.lower(), rf"(?iuU)([.!?])\s+(\Q{p}\E)", "$1\n\n$2") for p in phrases]
+    rest = [
         (rf"(?U),\s+(?={CAPITAL}{SMALL}{{3,}}\s+)(?![^\n]{{0,50}}\n)", ",\n"),
         (r"\n{3,}", "\n\n"),
-        (social_footer, ""),
     ]
-    return trim_all(replace_all(trim_all(col(text)), steps))
+    split = _apply_cuts(replace_all(trim_all(col(text)), sentences), cuts)
+    return trim_all(_apply_cuts(replace_all(split, rest), [social_footer]))
 
 
 def format_smart(text: Column | str, phrases: Sequence[str] = P.REFRESH_PHRASES) -> Column:
     """Paragraphs for a refreshed description."""
-    steps = [
+    sentences = [
         (r"[ \t]+", " "),
         (rf"(?dmU){ANCHOR}(.{{150,}}[.!?])(\s+)(?={CAPITAL})", "$1\n\n$2"),
-        *[(rf"(?U)([.!?])\s+(\Q{p}\E)", "$1\n\n$2") for p in phrases],
-        (r"\n{3,}", "\n\n"),
     ]
-    return trim_all(replace_all(col(text), steps))
+    cuts = [Cut(p.lower(), rf"(?U)([.!?])\s+(\Q{p}\E)", "$1\n\n$2") for p in phrases]
+    split = _apply_cuts(replace_all(col(text), sentences), cuts)
+    return trim_all(replace_all(split, [(r"\n{3,}", "\n\n")]))
 
 
 def needs_paragraphs(text: Column) -> Column:

@@ -99,40 +99,57 @@ def review_moderated(
     ``score`` and ``new_name``. An adult or tobacco word keeps a company under moderation unless its name holds a safe
     word. Else the rule with the most words in the text wins, the first one on a tie; an exclusion sets a score to 0.
     """
-    marker = prefix.lower()
     name = F.lower(F.coalesce("name", F.lit("")))
-    base = df.withColumn("_name", F.replace(name, F.lit(marker), F.lit(""))).withColumn("_text", _full_text())
-    text, clean = F.col("_text"), F.concat("_name", F.lit(" "), F.lower(F.coalesce("description", F.lit(""))))
-    base = base.withColumn("_clean", clean)
-    adult_hit = first_hit(text, adult)
-    tobacco_hit = first_hit(text, tobacco)
-
-    def table() -> Column:
-        return F.array(
-            *[
-                F.struct(
-                    F.lit(slug).alias("slug"),
-                    F.lit(i).alias("priority"),
-                    words([w.lower() for w in kws]).alias("words"),
-                    words([w.lower() for w in excludes.get(slug, [])]).alias("excludes"),
-                )
-                for i, (slug, kws) in enumerate(rules.items())
-            ]
-        )
+    text = F.lower(F.coalesce("description", F.lit("")))
+    table = F.array(
+        *[
+            F.struct(
+                F.lit(slug).alias("slug"),
+                F.lit(i).alias("priority"),
+                words([w.lower() for w in kws]).alias("words"),
+                words([w.lower() for w in excludes.get(slug, [])]).alias("excludes"),
+            )
+            for i, (slug, kws) in enumerate(rules.items())
+        ]
+    )
+
+    def judge(low: Column) -> Column:
+        """Verdict over the lower-cased ``struct<name, clean_name, text>``."""
+        full = F.concat(low["name"], F.lit(" "), low["text"])
+        clean = F.concat(low["clean_name"], F.lit(" "), low["text"])
+
+        def score(both: Column):
+            def one(rule: Column) -> Column:
+                barred = F.exists(rule["excludes"], lambda w: F.contains(both["full"], w))
+                points = F.when(barred, F.lit(0)).otherwise(hit_count(both["clean"], rule["words"]))
+                return F.struct(points.alias("score"), (-rule["priority"]).alias("order"), rule["slug"].alias("slug"))
+
+            return one
+
+        def decide(both: Column) -> Column:
+            matched = F.coalesce(first_hit(both["full"], adult), first_hit(both["full"], tobacco))
 
-    def score(rule: Column) -> Column:
-        barred = F.exists(rule["excludes"], lambda w: F.contains(text, w))
-        points = F.when(barred, F.lit(0)).otherwise(hit_count(F.col("_clean"), rule["words"]))
-        return F.struct(points.alias("score"), (-rule["priority"]).alias("order"), rule["slug"].alias("slug"))
+            def finish(hit: Column) -> Column:
+                stay = hit.isNotNull() & ~any_hit(low["clean_name"], safe)
+                # rules are only scored for rows that may leave moderation
+                best = F.when(~stay, F.array_max(F.transform(table, score(both))))
+                return F.struct(hit.alias("matched"), stay.alias("stay"), best.alias("best"))
 
-    scored = base.withColumn("matched", F.coalesce(adult_hit, tobacco_hit))
-    stay = F.col("matched").isNotNull() & ~any_hit(F.col("_name"), safe)
-    scored = scored.withColumn("_stay", stay)
-    # rules are only scored for rows that may leave moderation
-    best = F.when(~F.col("_stay"), F.array_max(F.transform(table(), score)))
-    scored = scored.withColumn("_best", best)
-    rule = F.when(F.col("_best.score") > 0, F.col("_best.slug"))
-    scored = scored.withColumn("_rule", rule)
+            return let(matched, finish)
+
+        return let(F.struct(full.alias("full"), clean.alias("clean")), decide)
+
+    low = F.struct(
+        name.alias("name"), F.replace(name, F.lit(prefix.lower()), F.lit("")).alias("clean_name"), text.alias("text")
+    )
+    judged = df.withColumn("_verdict", let(low, judge))
+    scored = judged.select(
+        *df.columns,
+        F.col("_verdict.matched").alias("matched"),
+        F.col("_verdict.stay").alias("_stay"),
+        F.col("_verdict.best").alias("_best"),
+    )
+    scored = scored.withColumn("_rule", F.when(F.col("_best.score") > 0, F.col("_best.slug")))
 
     known = categories.select(F.col("slug").alias("_slug"))
     pairs = [(a, b) for a, b in aliases.items()] + [(b, a) for a, b in aliases.items()]
@@ -153,9 +170,7 @@ def review_moderated(
     pattern = rf"(?iu)^\Q{prefix}\E\s*"
     renamed = F.when(F.col("category_slug").isNotNull(), F.regexp_replace("name", pattern, "")).otherwise(F.col("name"))
     out = out.withColumn("outcome", outcome).withColumn("score", F.coalesce(F.col("_best.score"), F.lit(0)))
-    return out.withColumn("new_name", renamed).drop(
-        "_name", "_text", "_clean", "_stay", "_best", "_rule", "_spelling"
-    )
+    return out.withColumn("new_name", renamed).drop("_stay", "_best", "_rule", "_spelling")
 
 
 def review_summary(reviewed: DataFrame) -> DataFrame:

@@ -45,7 +45,8 @@ def _names_any(value: Column, parts: Sequence[str]) -> Column:
 
 
 def _long(df: DataFrame, items: Column, keep: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    out = df.select(*keep, F.posexplode(items).alias("pos", "item"))
+    """Items to rows. The outer form keeps Spark from adding a filter that would compute the items twice more."""
+    out = df.select(*keep, F.posexplode_outer(items).alias("pos", "item")).filter("pos is not null")
     return out.select(*keep, "pos", *[F.col(f"item.{f}").alias(f) for f in fields])
 
 
@@ -428,7 +429,8 @@ def full_menu(tree: Column, html: Column) -> Column:
 
 def menu_long(df: DataFrame, key: str, menu: str = "menu") -> DataFrame:
     """Menu map to rows ``key, section, section_pos, pos, name, price, portion``; positions start at 1."""
-    sections = df.select(key, F.posexplode(F.map_entries(menu)).alias("section_pos", "s"))
+    sections = df.select(key, F.posexplode_outer(F.map_entries(menu)).alias("section_pos", "s"))
+    sections = sections.filter("section_pos is not null")
     rows = sections.select(key, "section_pos", F.col("s.key").alias("section"), F.posexplode("s.value").alias("pos", "i"))
     return rows.select(
         key,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from streetbook.dicts import sites as S
 from streetbook.functions.contacts import extract_website
 from streetbook.functions.expr import blank_to_null
-from streetbook.functions.text import format_smart, remove_footers
+from streetbook.functions.text import FOOTERS, Cut, format_smart, remove_footers
 from streetbook.operators.common import (
     allocate_ids,
     best_per_key,
@@ -261,7 +261,7 @@ def refresh_hours(old: DataFrame, fresh: DataFrame) -> DataFrame:
 def patch_companies(
     cur: DataFrame,
     fresh: DataFrame,
-    footers: Sequence[str] | None = None,
+    footers: Sequence[Cut] = FOOTERS,
     own_hosts: Sequence[str] = S.OWN_HOSTS,
 ) -> DataFrame:
     """Fill empty phone, address and website from a fresh page, refresh the description, and list what changed.
@@ -276,7 +276,7 @@ def patch_companies(
     text = F.coalesce("_description", "description")
     has_text = F.coalesce(text, F.lit("")) != ""
     found = joined.withColumn("_found", extract_website(text, strict=True, own_hosts=own_hosts))
-    cut = remove_footers(F.col("_found.text")) if footers is None else remove_footers(F.col("_found.text"), footers)
+    cut = remove_footers(F.col("_found.text"), footers)
     found = found.withColumn("_text", F.when(has_text, format_smart(cut)))
 
     def empty(name: str) -> Column:
