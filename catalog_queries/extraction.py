@@ -260,11 +260,18 @@ def menu_flow(fx):
     return log.filter("reason rlike '^(fetch|no_menu|more)'").select("id", "reason")
 
 
-CRAWLED = """WITH ranked AS (SELECT c.*, ci.weight, row_number() OVER (PARTITION BY c.city_id, c.source ORDER BY c.id) AS rn
-                             FROM companies c JOIN cities ci ON ci.id = c.city_id),
-                  looked AS (SELECT *, rating + 0 >= 4.0 AND review_count >= 5 AS good FROM ranked)
-             SELECT city_id, source AS category, COUNT(CASE WHEN good THEN 1 END) AS saved,
-                    COUNT(CASE WHEN NOT coalesce(good, FALSE) THEN 1 END) AS skipped FROM looked GROUP BY city_id, source"""
+GATED = """
+    ranked AS (SELECT c.id, c.city_id, c.source, c.rating >= 4.0 AND c.review_count >= 5 AS ok,
+                      CASE WHEN ci.weight >= 500000 THEN 100 WHEN ci.weight >= 100000 THEN 50
+                           WHEN ci.weight >= 50000 THEN 30 ELSE 15 END AS quota,
+                      row_number() OVER (PARTITION BY c.city_id, c.source ORDER BY c.id) AS rn
+               FROM companies c JOIN cities ci ON ci.id = c.city_id),
+    looked AS (SELECT *, coalesce(ok, FALSE) AS good FROM ranked WHERE rn <= 2 * quota),
+    gated AS (SELECT *, coalesce(SUM(CASE WHEN good THEN 1 ELSE 0 END) OVER (PARTITION BY city_id, source ORDER BY rn
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= quota AS beyond FROM looked)"""
+CRAWLED = f"""WITH {GATED}
+             SELECT city_id, source AS category, COUNT(CASE WHEN good AND NOT beyond THEN 1 END) AS saved,
+                    COUNT(CASE WHEN NOT good AND NOT beyond THEN 1 END) AS skipped FROM gated GROUP BY city_id, source"""
 
 
 @register("flow_ingest", CRAWLED)
@@ -286,8 +293,9 @@ def ingest_flow(fx):
 
 @register(
     "flow_ingest_companies",
-    """SELECT c.id, c.name, CASE WHEN c.rating >= 4.0 AND c.review_count >= 5 AND c.city_id IS NOT NULL THEN '2024-01-01'
-                                 ELSE CAST(c.parsed_at AS STRING) END AS parsed_at FROM companies c""",
+    f"""WITH {GATED}
+        SELECT c.id, c.name, CASE WHEN c.id IN (SELECT id FROM gated WHERE good AND NOT beyond) THEN '2024-01-01'
+                                  ELSE CAST(c.parsed_at AS STRING) END AS parsed_at FROM companies c""",
 )
 def ingest_companies(fx):
     from streetbook.plans.ingest import ingest_pages

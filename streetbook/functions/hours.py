@@ -36,20 +36,18 @@ def hour_lines(hours: Column | str) -> Column:
     """
 
     def parse(line: Column) -> Column:
-        parts = F.split(line, ": ")
-        times = F.get(parts, F.lit(1))
-        pair = F.split(times, "-")
-        ok = F.size(pair) == 2
-        start = F.when(ok, trim_all(F.get(pair, F.lit(0))))
-        end = F.when(ok, trim_all(F.get(pair, F.lit(1))))
-        return F.struct(
-            F.get(parts, F.lit(0)).alias("days"),
-            times.alias("times"),
-            start.alias("open"),
-            end.alias("close"),
-            _minutes(start).alias("open_min"),
-            _minutes(end).alias("close_min"),
-        )
+        def build(both: Column) -> Column:
+            ok = F.size(both["pair"]) == 2
+            start = F.when(ok, trim_all(F.get(both["pair"], F.lit(0))))
+            end = F.when(ok, trim_all(F.get(both["pair"], F.lit(1))))
+            return let(F.struct(both["days"].alias("days"), both["times"].alias("times"), start.alias("open"), end.alias("close")), clock)
+
+        def clock(x: Column) -> Column:
+            minutes = [_minutes(x["open"]).alias("open_min"), _minutes(x["close"]).alias("close_min")]
+            return F.struct(*[x[n].alias(n) for n in ("days", "times", "open", "close")], *minutes)
+
+        days, times = F.substring_index(line, ": ", 1), F.substring_index(line, ": ", -1)
+        return let(F.struct(days.alias("days"), times.alias("times"), F.split(times, "-").alias("pair")), build)
 
     lines = F.filter(col(hours), lambda line: F.size(F.split(line, ": ")) == 2)
     return F.coalesce(F.transform(lines, parse), F.array().cast(

@@ -30,7 +30,7 @@ def text_filter(q: str, columns: Sequence[str] = ("name", "description", "addres
 
 def with_city(companies: DataFrame, cities: DataFrame, slug: bool = False) -> DataFrame:
     names = [F.col("name").alias("city_name")] + ([F.col("slug").alias("city_slug")] if slug else [])
-    return join_known(companies, cities.select(F.col("id").alias("city_id"), *names), ["city_id"], F.col("id"))
+    return join_known(companies, cities.select(F.col("id").alias("city_id"), *names), ["city_id"])
 
 
 def having_all_tags(company_tags: DataFrame, tag_ids: Sequence[int]) -> DataFrame:
@@ -335,7 +335,7 @@ def resolve_city(cities: DataFrame, slugs: DataFrame, host: str = SUBDOMAIN_HOST
     met = slugs.join(by_host, "slug", "left").join(by_slug, "slug", "left")
     met = met.withColumn("city_id", F.coalesce("_host_id", "_slug_id")).drop("_host_id", "_slug_id")
     known = cities.select(F.col("id").alias("city_id"), F.col("name").alias("city_name"), sub.alias("_sub"))
-    out = join_known(met, known, ["city_id"], F.col("slug"))
+    out = join_known(met, known, ["city_id"])
     return out.withColumn("site_slug", F.coalesce("_sub", "slug")).drop("_sub")
 
 

@@ -22,25 +22,25 @@ def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Data
 
 
 def spread_key(keys: Sequence[Column], salt: Column) -> Column:
-    """One join key from several columns. A row with a null key matches nothing, as in SQL; the salt spreads such
-    rows over the tasks instead of sending them all to one."""
+    """One join key from several columns; the salt takes its place where one of them is null."""
     missing = F.lit(False)
     for key in keys:
         missing = missing | key.isNull()
     parts = [F.concat(F.length(k.cast("string")).cast("string"), F.lit(":"), k.cast("string")) for k in keys]
-    return F.when(missing, F.concat(F.lit("null/"), F.xxhash64(salt).cast("string"))).otherwise(
-        F.concat(F.lit("key/"), *parts)
-    )
+    return F.when(missing, F.concat(F.lit("null/"), salt.cast("string"))).otherwise(F.concat(F.lit("key/"), *parts))
 
 
-def join_known(left: DataFrame, right: DataFrame, keys: Sequence[str], salt: Column, how: str = "left") -> DataFrame:
+def join_known(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Equi join on equally named keys that may be null on the left; the right side's keys are dropped.
 
-    ``how`` is ``left``, ``left_anti`` or ``left_semi``. Rows of the left side with a null key match nothing.
+    ``how`` is ``left``, ``left_anti`` or ``left_semi``. Rows of the left side with a null key match nothing, as in SQL.
+    They would all hash to one task, so a salt of their partition, their other keys and their id spreads them, equal rows
+    too; a task that runs again gives the same salts, and no further column is read for it.
     """
+    salt = F.xxhash64(F.spark_partition_id(), *keys, *(["id"] if "id" in left.columns else []))
     probe = left.withColumn("_probe", spread_key([F.col(k) for k in keys], salt))
     known = right.filter(" and ".join(f"`{k}` is not null" for k in keys))
-    known = known.withColumn("_probe", spread_key([F.col(k) for k in keys], F.lit(0))).drop(*keys)
+    known = known.withColumn("_probe", spread_key([F.col(k) for k in keys], F.lit(""))).drop(*keys)
     return probe.join(known, "_probe", how).drop("_probe")
 
 

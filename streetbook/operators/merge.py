@@ -63,12 +63,11 @@ def upsert_companies(
     """
     if mode not in ("overwrite", "fill_empty"):
         raise ValueError(mode)
-    salt = F.struct("name", "external_id", "url")
     inc = inc.withColumn("_order", _row_order(inc, order))
     by_ext = cur.groupBy("external_id").agg(F.min("id").alias("_by_ext"))
     by_url = cur.groupBy("url").agg(F.min("id").alias("_by_url"))
-    met = join_known(inc, by_ext, ["external_id"], salt)
-    met = join_known(met, by_url, ["url"], salt).withColumn("_target", F.coalesce("_by_ext", "_by_url"))
+    met = join_known(inc, by_ext, ["external_id"])
+    met = join_known(met, by_url, ["url"]).withColumn("_target", F.coalesce("_by_ext", "_by_url"))
     conflicts = met.filter(F.col("_by_ext") != F.col("_by_url")).select(
         "external_id", "url", F.col("_by_ext").alias("id_by_external_id"), F.col("_by_url").alias("id_by_url")
     )
@@ -76,7 +75,7 @@ def upsert_companies(
     hits = best_per_key(met.filter("_target is not null"), ["_target"], F.col("_order"), newest=True)
     fresh = met.filter("_target is null").drop("_by_ext", "_by_url", "_target")
     owner = fresh.filter("external_id is not null").groupBy("url").agg(F.min("external_id").alias("_owner"))
-    fresh = join_known(fresh, owner, ["url"], salt)
+    fresh = join_known(fresh, owner, ["url"])
     own_key = (
         F.when(F.col("external_id").isNotNull(), F.concat(F.lit("x"), "external_id"))
         .when(F.col("_owner").isNotNull(), F.concat(F.lit("x"), "_owner"))
@@ -127,10 +126,9 @@ def upsert_by_name(
 ) -> Upsert:
     """Upsert by name and city: five fields of a known company are written, others are inserted with their source."""
     keys = ["name", "city_id"]
-    salt = F.struct("name", "address")
     inc = inc.withColumn("_order", _row_order(inc, order))
     known = cur.groupBy(*keys).agg(F.min("id").alias("_target"))
-    met = join_known(inc, known, keys, salt)
+    met = join_known(inc, known, keys)
     hits = best_per_key(met.filter("_target is not null"), ["_target"], F.col("_order"), newest=True)
     fresh = met.filter("_target is null").drop("_target")
     null_key = F.col("name").isNull() | F.col("city_id").isNull()
@@ -171,9 +169,8 @@ def upsert_by_name(
 def insert_absent(cur: DataFrame, inc: DataFrame, source: str, order: Column | None = None) -> Upsert:
     """Insert companies whose name and city are not known; the first of equal incoming rows is taken."""
     keys = ["name", "city_id"]
-    salt = F.struct("name", "address")
     inc = inc.withColumn("_order", _row_order(inc, order))
-    fresh = join_known(inc, cur.select(*keys).distinct(), keys, salt, "left_anti")
+    fresh = join_known(inc, cur.select(*keys).distinct(), keys, "left_anti")
     null_key = F.col("name").isNull() | F.col("city_id").isNull()
     keyed = best_per_key(fresh.filter(~null_key), keys, F.col("_order")).withColumn(
         "_key", F.concat(F.lit("k"), "city_id", F.lit("/"), "name")
@@ -188,7 +185,7 @@ def insert_absent(cur: DataFrame, inc: DataFrame, source: str, order: Column | N
 def new_candidates(cand: DataFrame, cur: DataFrame) -> DataFrame:
     """Candidates not yet known by external id and city."""
     keys = ["external_id", "city_id"]
-    return join_known(cand, cur.select(*keys).distinct(), keys, F.struct("name", "url"), "left_anti")
+    return join_known(cand, cur.select(*keys).distinct(), keys, "left_anti")
 
 
 def insert_reviews(cur: DataFrame, inc: DataFrame, order: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -199,7 +196,7 @@ def insert_reviews(cur: DataFrame, inc: DataFrame, order: Column | None = None)
     )
     named = named.withColumn("_order", _row_order(named, order))
     first = best_per_key(named.drop("id"), keys, F.col("_order")).drop("_order")
-    fresh = join_known(first, cur.select(*keys).distinct(), keys, F.struct("company_id", "text"), "left_anti")
+    fresh = join_known(first, cur.select(*keys).distinct(), keys, "left_anti")
     key = F.concat_ws("/", F.col("company_id").cast("string"), "author_name", "text")
     inserted = allocate_ids(fresh, max_id(cur), key)
     return union_aligned(cur, inserted), inserted
@@ -227,7 +224,7 @@ def merge_cities(cur: DataFrame, inc: DataFrame, mode: str) -> DataFrame:
     field = "slug" if mode == "fix_slug" else "url"
     value = F.col(field)
     new = inc.groupBy("name").agg(F.max(field).alias("_new"))
-    joined = join_known(cur, new, ["name"], F.col("id"))
+    joined = join_known(cur, new, ["name"])
     if mode == "fill_url":
         merged = F.coalesce(blank_to_null(value), "_new", value)
     elif mode in ("set_url", "fix_slug"):
@@ -365,7 +362,7 @@ def delete_city(tables: Mapping[str, DataFrame], ids: DataFrame) -> dict[str, Da
     out["cities"] = tables["cities"].join(gone, "id", "left_anti")
     companies = tables["companies"]
     lost = gone.select(F.col("id").alias("city_id"), F.lit(True).alias("_lost"))
-    joined = join_known(companies, lost, ["city_id"], F.col("id"))
+    joined = join_known(companies, lost, ["city_id"])
     city = F.when(F.col("_lost").isNull(), F.col("city_id")).alias("city_id")
     out["companies"] = joined.select(*[city if c == "city_id" else F.col(c) for c in companies.columns])
     return out
