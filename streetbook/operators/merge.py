@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -49,7 +49,12 @@ def _row_order(inc: DataFrame, order: Column | None) -> Column:
 
 
 def upsert_companies(
-    cur: DataFrame, inc: DataFrame, as_of: Column, mode: str = "overwrite", order: Column | None = None
+    cur: DataFrame,
+    inc: DataFrame,
+    as_of: Column,
+    mode: str = "overwrite",
+    order: Column | None = None,
+    settle: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> Upsert:
     """Upsert by external id, then by URL.
 
@@ -59,7 +64,8 @@ def upsert_companies(
     by external id; a new row without one joins the new company that carries its URL, else its URL names it, and a row
     without both is a company of its own.
 
-    Two equi joins replace the one ``OR`` join, which would compare every pair of rows.
+    Two equi joins replace the one ``OR`` join, which would compare every pair of rows. Their result feeds the updates,
+    the inserts and the ids: large jobs pass ``settle=cut_lineage`` to store it once.
     """
     if mode not in ("overwrite", "fill_empty"):
         raise ValueError(mode)
@@ -67,7 +73,7 @@ def upsert_companies(
     by_ext = cur.groupBy("external_id").agg(F.min("id").alias("_by_ext"))
     by_url = cur.groupBy("url").agg(F.min("id").alias("_by_url"))
     met = join_known(inc, by_ext, ["external_id"])
-    met = join_known(met, by_url, ["url"]).withColumn("_target", F.coalesce("_by_ext", "_by_url"))
+    met = settle(join_known(met, by_url, ["url"]).withColumn("_target", F.coalesce("_by_ext", "_by_url")))
     conflicts = met.filter(F.col("_by_ext") != F.col("_by_url")).select(
         "external_id", "url", F.col("_by_ext").alias("id_by_external_id"), F.col("_by_url").alias("id_by_url")
     )

@@ -227,6 +227,8 @@ def test_quality_gate(spark):
     )
     got = {r["pos"]: r["outcome"] for r in H.select_quality(cand, 2).collect()}
     assert got == {0: "saved", 1: "skipped", 2: "failed", 3: "saved"}
+    plan = H.select_quality(cand, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2  # groups are cut before the shuffle
     more = H.select_quality(cand.withColumn("quota", F.lit(3)), 3)
     assert {r["pos"]: r["outcome"] for r in more.collect()} == {0: "saved", 1: "skipped", 2: "failed", 3: "saved", 4: "saved", 5: "not_reached"}
 
