@@ -463,11 +463,11 @@ def _gone(fx):
 @register(
     "e18_delete_cascade",
     """WITH gone AS (SELECT DISTINCT company_id AS gid FROM favorites)
-       SELECT 'companies' AS part, COUNT(*) AS n, SUM(id) AS s FROM companies WHERE id NOT IN (SELECT gid FROM gone)
-       UNION ALL SELECT 'company_categories', COUNT(*), SUM(company_id) FROM company_categories
+       SELECT 'companies' AS part, COUNT(*) AS n, CAST(SUM(id) AS BIGINT) AS s FROM companies WHERE id NOT IN (SELECT gid FROM gone)
+       UNION ALL SELECT 'company_categories', COUNT(*), CAST(SUM(company_id) AS BIGINT) FROM company_categories
        WHERE company_id NOT IN (SELECT gid FROM gone)
-       UNION ALL SELECT 'reviews', COUNT(*), SUM(company_id) FROM reviews WHERE company_id NOT IN (SELECT gid FROM gone)
-       UNION ALL SELECT 'company_tags', COUNT(*), SUM(company_id) FROM company_tags
+       UNION ALL SELECT 'reviews', COUNT(*), CAST(SUM(company_id) AS BIGINT) FROM reviews WHERE company_id NOT IN (SELECT gid FROM gone)
+       UNION ALL SELECT 'company_tags', COUNT(*), CAST(SUM(company_id) AS BIGINT) FROM company_tags
        WHERE company_id NOT IN (SELECT gid FROM gone)""",
 )
 def e18(fx):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from catalog_queries import register
 from catalog_queries.merges import DIRTY, MENU_SIDES
 from streetbook.operators import menus as U

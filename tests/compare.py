@@ -30,7 +30,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 def plain(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else float(f"{value:.9g}")
+        return "nan" if math.isnan(value) else value
     if isinstance(value, decimal.Decimal):
         return float(value)
     if isinstance(value, (datetime.datetime, datetime.date)):
