@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streetbook.llm import exact_dedup, mixing
+from streetbook.llm import byte_bpe, exact_dedup, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -68,3 +69,10 @@ def op9(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     out = mixing.mix(docs).orderBy("position", "source", "doc_id")
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op10_byte_bpe")
+def op10(spark, folder):
+    vocab = byte_bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    out = byte_bpe.round_trip(table(spark, folder, "documents").select("doc_id", "text"), vocab)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
