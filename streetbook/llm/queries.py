@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streetbook.llm import byte_bpe, exact_dedup, mixing
+from streetbook.llm import byte_bpe, exact_dedup, language_id, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -76,3 +76,11 @@ def op10(spark, folder):
     vocab = byte_bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     out = byte_bpe.round_trip(table(spark, folder, "documents").select("doc_id", "text"), vocab)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@register("op5_language_id")
+def op5(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", language_id.held_out(F.col("doc_id")))
+    profiles = language_id.learn(docs.filter("not held_out"))
+    return language_id.identify(docs.drop("lang"), profiles).select("doc_id", "held_out", "lang_pred", "score")
