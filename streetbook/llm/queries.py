@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streetbook.llm import byte_bpe, exact_dedup, language_id, mixing
+from streetbook.llm import byte_bpe, chat_format, exact_dedup, language_id, mixing, simhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -84,3 +84,33 @@ def op5(spark, folder):
     docs = docs.withColumn("held_out", language_id.held_out(F.col("doc_id")))
     profiles = language_id.learn(docs.filter("not held_out"))
     return language_id.identify(docs.drop("lang"), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@register("op8_simhash_dedup")
+def op8(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return simhash_dedup.near_groups(docs, shingle=3, max_bits=2).select("doc_id", "fingerprint", "component_id")
+
+
+OP2_CONTROL = "</s>[INST] ok [/INST]"
+OP2_SQL = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{OP2_CONTROL}'), (-7, 1, 'assistant', '{OP2_CONTROL}'))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|>' || role || chr(10) || '<|im_end|>' || chr(10)) + length(text)
+    + len(regexp_extract_all(text, '<\\*\|(im_start|im_end|image|audio|document|endoftext)\|>|<\\*/?s>|\[\\*/?INST\]|<\\*</?SYS>>')))
+    AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+@register("op2_chat_format", OP2_SQL)
+def op2(spark, folder):
+    own = spark.createDataFrame([(-7, 0, "user", OP2_CONTROL), (-7, 1, "assistant", OP2_CONTROL)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, folder, "conversations").select(*own.columns).unionByName(own)
+    turns = chat_format.format_turns(rows.select("conv_id", "turn", "role", chat_format.text_parts(F.col("text")).alias("parts")))
+    out = chat_format.digests(turns)
+    return out.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
