@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streetbook.llm import byte_bpe, chat_format, exact_dedup, language_id, mixing, simhash_dedup
+from streetbook.llm import ann_hnsw, byte_bpe, chat_format, exact_dedup, language_id, mixing, simhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -114,3 +114,9 @@ def op2(spark, folder):
     turns = chat_format.format_turns(rows.select("conv_id", "turn", "role", chat_format.text_parts(F.col("text")).alias("parts")))
     out = chat_format.digests(turns)
     return out.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+@register("op4_ann_hnsw")
+def op4(spark, folder):
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return ann_hnsw.nearest(rows, rows.filter("vec_id % 20 = 0"), top=20)
