@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streetbook.llm import ann_hnsw, byte_bpe, chat_format, exact_dedup, language_id, mixing, simhash_dedup
+from streetbook.llm import ann_hnsw, byte_bpe, chat_format, exact_dedup, language_id, mixing, simhash_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -120,3 +120,11 @@ def op2(spark, folder):
 def op4(spark, folder):
     rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return ann_hnsw.nearest(rows, rows.filter("vec_id % 20 = 0"), top=20)
+
+
+@register("op7_token_counts")
+def op7(spark, folder):
+    docs, eod = table(spark, folder, "documents").select("doc_id", "text"), 50_256
+    path = token_counts.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, eod)
+    out = token_counts.count_tokens(spark, path, eod, head=token_counts.HEADER)
+    return out.select(token_counts.header_id(F.col("head")).alias("doc_id"), "n_tokens", "closed")
