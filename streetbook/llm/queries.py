@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streetbook.llm import ann_hnsw, byte_bpe, chat_format, exact_dedup, language_id, mixing, simhash_dedup, token_counts
+from streetbook.llm import ann_hnsw, byte_bpe, chat_format, exact_dedup, language_id, mixing, simhash_dedup, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -128,3 +128,9 @@ def op7(spark, folder):
     path = token_counts.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, eod)
     out = token_counts.count_tokens(spark, path, eod, head=token_counts.HEADER)
     return out.select(token_counts.header_id(F.col("head")).alias("doc_id"), "n_tokens", "closed")
+
+
+@register("op3_suffix_dedup")
+def op3(spark, folder):
+    out = suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
