@@ -19,6 +19,7 @@ import base64
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha256
 from itertools import chain
 
 import numpy as np
@@ -231,20 +232,24 @@ def decode(df: DataFrame, vocab: Vocabulary, ids: str = "token_ids", decoded: st
     return map_texts(df, ids, {decoded: "binary"}, rows)
 
 
-def round_trip(df: DataFrame, vocab: Vocabulary, text: str = "text") -> DataFrame:
-    """``df`` with ``n_tokens`` and SHA-256 digests of the decimal ids and of the bytes decoded from them, in one pass."""
-    from hashlib import sha256
+def round_trip(df: DataFrame, vocab: Vocabulary, text: str = "text", ids: str | None = None) -> DataFrame:
+    """``df`` with ``n_tokens`` and SHA-256 digests of the decimal ids and of the bytes decoded from them, in one pass.
 
+    With ``ids`` the token ids come along in a column of that name.
+    """
     names = [str(i) for i in range(len(vocab.tokens))]
+    added = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({ids: "array<int>"} if ids else {})
 
     def rows(values):
         codec = vocab.codec()
-        out = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+        out = {name: [] for name in added}
         for value in values:
-            ids = codec.encode(value or "")
-            out["n_tokens"].append(len(ids))
-            out["ids_sha256"].append(sha256(" ".join([names[i] for i in ids]).encode()).hexdigest())
-            out["decoded_sha256"].append(sha256(codec.decode(ids)).hexdigest())
+            found = codec.encode(value or "")
+            out["n_tokens"].append(len(found))
+            out["ids_sha256"].append(sha256(" ".join([names[i] for i in found]).encode()).hexdigest())
+            out["decoded_sha256"].append(sha256(codec.decode(found)).hexdigest())
+            if ids:
+                out[ids].append(np.array(found, dtype=np.int32))
         return out
 
-    return map_texts(df, text, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, rows)
+    return map_texts(df, text, added, rows)
