@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streetbook.llm import ann_hnsw, byte_bpe, chat_format, exact_dedup, language_id, mixing, simhash_dedup, suffix_dedup, token_counts
+from streetbook.llm import ann_hnsw, byte_bpe, chat_format, exact_dedup, language_id, line_dedup, mixing, simhash_dedup, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -134,3 +134,9 @@ def op7(spark, folder):
 def op3(spark, folder):
     out = suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@register("op1_line_dedup")
+def op1(spark, folder):
+    out = line_dedup.remove_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))

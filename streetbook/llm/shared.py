@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,3 +89,48 @@ def components(edges: DataFrame) -> DataFrame:
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
     hubs = now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     return stars.unionByName(hubs).select(F.col("node").cast(kind), F.col("label").cast(kind))
+
+
+class Forest:
+    """Union-find over 0..n-1."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether the two were apart until now."""
+        i, j = self.root(i), self.root(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Sorted batches of numbers as columns in which no key (the first ``keys`` columns) is cut in two.
+
+    With them come the begin and end of each key's rows.
+    """
+    held: list[np.ndarray] = []
+
+    def grouped(rows):
+        change = np.flatnonzero(np.any([np.diff(k) != 0 for k in rows[:keys]], axis=0)) + 1
+        return rows, np.concatenate([[0], change]), np.concatenate([change, [len(rows[0])]])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [c.to_numpy() for c in batch.columns]
+        rows = [np.concatenate(x) for x in zip(held, rows)] if held else rows
+        # the last key may go on in the next batch
+        other = np.flatnonzero(np.any([k != k[-1] for k in rows[:keys]], axis=0))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        held = [r[cut:] for r in rows]
+        if cut:
+            yield grouped([r[:cut] for r in rows])
+    if held:
+        yield grouped(held)

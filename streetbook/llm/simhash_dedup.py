@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from streetbook.llm.shared import components, join_counted, stored, tasks
+from streetbook.llm.shared import Forest, components, join_counted, stored, tasks, whole_keys
 
 SEED = 42
 BITS = 64
@@ -101,24 +101,6 @@ def in_chain(diff: np.ndarray, first: int, max_bits: int) -> np.ndarray:
     return good
 
 
-class Forest:
-    """Union-find over 0..n-1."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
 def links(found: np.ndarray, first: int, fixed: np.uint64, max_bits: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among distinct fingerprints that agree in the bits ``fixed``."""
     if len(found) > DENSE and (open_bits := [i for i in range(BITS) if not int(fixed) >> i & 1]) and len(open_bits) > max_bits:
@@ -152,30 +134,13 @@ def linked(distinct: DataFrame, max_bits: int) -> DataFrame:
     rows = rows.repartition(tasks(distinct.sparkSession), "kind", "key").sortWithinPartitions("kind", "key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b"]
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-        def work(kind, key, value):
-            """Links of the sorted rows, group by group."""
-            change = np.flatnonzero((np.diff(kind) != 0) | (np.diff(key) != 0)) + 1
-            begins, ends = np.concatenate([[0], change]), np.concatenate([change, [len(kind)]])
+        for (kind, _, value), begins, ends in whole_keys(batches, 2):
             pairs: list[tuple[int, int]] = []
             for a, b in zip(begins[ends - begins > 1].tolist(), ends[ends - begins > 1].tolist()):
                 first, mask = masks[int(kind[a])]
                 pairs += links(value[a:b].view(np.uint64), first, mask, max_bits)
             out = np.array(pairs, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=names)
-
-        for batch in batches:
-            rows = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
-            # the last key may go on in the next batch
-            last = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            held = [r[cut:] for r in rows]
-            if cut:
-                yield work(*[r[:cut] for r in rows])
-        if len(held[0]):
-            yield work(*held)
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
 
     return rows.mapInArrow(compare, "a long, b long")
 
