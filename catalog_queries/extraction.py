@@ -260,48 +260,87 @@ def menu_flow(fx):
     return log.filter("reason rlike '^(fetch|no_menu|more)'").select("id", "reason")
 
 
-GATED = """
-    ranked AS (SELECT c.id, c.city_id, c.source, c.rating >= 4.0 AND c.review_count >= 5 AS ok,
+# The pages of every tenth company were not fetched, those of the next are anti-bot pages; some companies have no city.
+LOST = "(c.id % 10 = 9 OR c.id % 10 = 8 OR ci.id IS NULL)"
+GATED = f"""
+    ranked AS (SELECT c.id, c.url, c.city_id, c.source, {LOST} AS lost, ci.id IS NULL AS homeless,
+                      NOT {LOST} AND coalesce(c.rating >= 4.0 AND c.review_count >= 5, FALSE) AS good,
                       CASE WHEN ci.weight >= 500000 THEN 100 WHEN ci.weight >= 100000 THEN 50
                            WHEN ci.weight >= 50000 THEN 30 ELSE 15 END AS quota,
-                      row_number() OVER (PARTITION BY c.city_id, c.source ORDER BY c.id) AS rn
-               FROM companies c JOIN cities ci ON ci.id = c.city_id),
-    looked AS (SELECT *, coalesce(ok, FALSE) AS good FROM ranked WHERE rn <= 2 * quota),
-    gated AS (SELECT *, coalesce(SUM(CASE WHEN good THEN 1 ELSE 0 END) OVER (PARTITION BY city_id, source ORDER BY rn
-                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= quota AS beyond FROM looked)"""
-CRAWLED = f"""WITH {GATED}
-             SELECT city_id, source AS category, COUNT(CASE WHEN good AND NOT beyond THEN 1 END) AS saved,
-                    COUNT(CASE WHEN NOT good AND NOT beyond THEN 1 END) AS skipped FROM gated GROUP BY city_id, source"""
+                      row_number() OVER (PARTITION BY ci.id IS NULL, c.city_id, c.source ORDER BY c.id) AS rn
+               FROM companies c LEFT JOIN cities ci ON ci.id = c.city_id),
+    looked AS (SELECT * FROM ranked WHERE homeless OR rn <= 2 * quota),
+    counted AS (SELECT *, coalesce(SUM(CASE WHEN good THEN 1 ELSE 0 END) OVER (PARTITION BY homeless, city_id, source ORDER BY rn
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= quota AS beyond FROM looked),
+    gated AS (SELECT *, CASE WHEN homeless THEN 'failed' WHEN beyond THEN 'not_reached' WHEN good THEN 'saved'
+                             WHEN lost THEN 'failed' ELSE 'skipped' END AS outcome FROM counted)"""
 
 
-@register("flow_ingest", CRAWLED)
-def ingest_flow(fx):
+def _ingest(fx, category=None, company_tags=None):
     """All pages of the catalog through extraction, gate, normaliser, moderation, upsert and tags."""
+    from streetbook.dicts.sites import BLOCK_WORDS
     from streetbook.plans.ingest import ingest_pages
 
     pages = P.detail_pages(fx.companies, fx.menu_fresh, fx.company_tags, fx.tags)
-    pages = pages.join(fx.companies.select("id", F.col("source").alias("source_category")), "id")
-    pages = pages.withColumn("pos", F.col("id")).drop("id")
-    cat = fx.catalog("cities", "categories", "company_categories", "tags", "company_tags", companies=fx.companies.drop("hours_line"))
-    run = ingest_pages(cat, pages, F.lit("2024-01-01").cast("date"))
-    counts = run.outcomes.groupBy("city_id", "category").agg(
-        F.count(F.when(F.col("outcome") == "saved", 1)).alias("saved"),
-        F.count(F.when(F.col("outcome") == "skipped", 1)).alias("skipped"),
-    )
-    return counts
+    pages = pages.join(fx.companies.select("id", (F.col("source") if category is None else category).alias("source_category")), "id")
+    blocked = F.lit(f"<html><head><title>{BLOCK_WORDS[0]}</title></head></html>")
+    html = F.when(F.col("id") % 10 == 8, blocked).when(F.col("id") % 10 != 9, F.col("html"))
+    pages = pages.withColumn("html", html).withColumn("pos", F.col("id")).drop("id")
+    cat = fx.catalog("cities", "categories", "company_categories", "tags", companies=fx.companies.drop("hours_line"))
+    cat = cat.with_tables(company_tags=fx.company_tags if company_tags is None else company_tags)
+    return ingest_pages(cat, pages, F.lit("2024-01-01").cast("date"))
+
+
+@register(
+    "flow_ingest",
+    f"""WITH {GATED}
+        SELECT city_id, source AS category, COUNT(CASE WHEN outcome = 'saved' THEN 1 END) AS saved,
+               COUNT(CASE WHEN outcome = 'skipped' THEN 1 END) AS skipped, COUNT(CASE WHEN outcome = 'failed' THEN 1 END) AS failed
+        FROM gated GROUP BY city_id, source""",
+)
+def ingest_flow(fx):
+    counts = {x: F.count(F.when(F.col("outcome") == x, 1)).alias(x) for x in ("saved", "skipped", "failed")}
+    return _ingest(fx).outcomes.groupBy("city_id", "category").agg(*counts.values())
+
+
+@register("flow_ingest_outcomes", f"WITH {GATED} SELECT id AS pos, url, city_id, source AS category, outcome FROM gated")
+def ingest_outcomes(fx):
+    return _ingest(fx).outcomes.select("pos", "url", "city_id", "category", "outcome")
 
 
 @register(
     "flow_ingest_companies",
     f"""WITH {GATED}
-        SELECT c.id, c.name, CASE WHEN c.id IN (SELECT id FROM gated WHERE good AND NOT beyond) THEN '2024-01-01'
-                                  ELSE CAST(c.parsed_at AS STRING) END AS parsed_at FROM companies c""",
+        SELECT c.id, c.external_id, c.url, c.name,
+               CASE WHEN c.id IN (SELECT id FROM gated WHERE outcome = 'saved') THEN '2024-01-01'
+                    ELSE CAST(c.parsed_at AS STRING) END AS parsed_at FROM companies c""",
 )
 def ingest_companies(fx):
-    from streetbook.plans.ingest import ingest_pages
+    out = _ingest(fx).catalog.companies
+    return out.select("id", "external_id", "url", "name", F.col("parsed_at").cast("string").alias("parsed_at"))
 
-    pages = P.detail_pages(fx.companies).withColumn("pos", F.col("id"))
-    pages = pages.join(fx.companies.select("id", F.col("source").alias("source_category")), "id").drop("id")
-    cat = fx.catalog("cities", "categories", "company_categories", "tags", "company_tags", companies=fx.companies.drop("hours_line"))
-    run = ingest_pages(cat, pages, F.lit("2024-01-01").cast("date"))
-    return run.catalog.companies.select("id", "name", F.col("parsed_at").cast("string").alias("parsed_at"))
+
+BRAND = "concat('brand-', CAST(1 + {id} % 6 AS STRING), CAST(1 + {id} % 4 AS STRING))"
+
+
+@register(
+    "flow_ingest_links",
+    f"""WITH {GATED.replace("c.source,", BRAND.format(id="c.id") + " AS source,").replace("c.source ORDER", BRAND.format(id="c.id") + " ORDER")},
+             new AS (SELECT g.id AS company_id, k.id AS category_id FROM gated g JOIN categories k ON k.slug = g.source WHERE outcome = 'saved')
+        SELECT company_id, category_id FROM company_categories WHERE company_id NOT IN (SELECT company_id FROM new)
+        UNION ALL SELECT company_id, category_id FROM new""",
+)
+def ingest_links(fx):
+    return _ingest(fx, F.expr(BRAND.format(id="id"))).catalog.company_categories.select("company_id", "category_id")
+
+
+@register(
+    "flow_ingest_tags",
+    f"""WITH {GATED}
+        SELECT company_id, t.name FROM company_tags JOIN tags t ON t.id = tag_id
+        WHERE company_id IN (SELECT id FROM gated WHERE outcome = 'saved')""",
+)
+def ingest_tags(fx):
+    """The catalog starts without tags, so that all that is there came from the pages."""
+    held = _ingest(fx, company_tags=fx.company_tags.limit(0))
+    return held.catalog.company_tags.join(held.catalog.tags.select(F.col("id").alias("tag_id"), "name"), "tag_id").select("company_id", "name")

@@ -176,6 +176,27 @@ def e04(fx):
     return M.new_candidates(fx.incoming, fx.companies).select("external_id", "url", "city_id")
 
 
+UNORDERED = """SELECT external_id, url, concat(name, ' again') AS name, phone, CAST(NULL AS INT) AS pos FROM companies WHERE id % 3 <> 2
+               UNION ALL SELECT external_id, url, concat(name, ' first') AS name, phone, 1 FROM companies WHERE id % 3 = 1
+               UNION ALL SELECT concat(external_id, '-n'), NULL, concat(name, ' new') AS name, phone, NULL FROM companies WHERE id % 3 = 0"""
+
+
+@register(
+    "e01_upsert_null_order",
+    f"""WITH inc AS ({UNORDERED}),
+             hit AS (SELECT *, row_number() OVER (PARTITION BY external_id ORDER BY pos NULLS LAST) AS rn FROM inc)
+        SELECT c.external_id, coalesce(h.url, c.url) AS url, coalesce(h.name, c.name) AS name, coalesce(h.phone, c.phone) AS phone
+        FROM companies c LEFT JOIN hit h ON h.external_id = c.external_id AND h.rn = 1
+        UNION ALL SELECT external_id, url, name, phone FROM inc WHERE external_id LIKE '%-n'""",
+)
+def e01_null_order(fx):
+    """Rows without an order win only where a company has no other, and never wipe it."""
+    inc = fx.sql(f"SELECT * FROM ({UNORDERED}) u")
+    cur = fx.companies.select("id", "external_id", "url", "name", "phone", "parsed_at")
+    done = M.upsert_companies(cur, inc, F.lit("2024-01-01").cast("date"), order=F.col("pos"))
+    return done.snapshot.select("external_id", "url", "name", "phone")
+
+
 REVIEWS = """SELECT company_id, CASE WHEN id % 5 = 0 THEN NULL ELSE author_name END AS author_name, rating,
                     CASE WHEN id % 7 = 0 THEN NULL ELSE text END AS text, date FROM reviews
              UNION ALL SELECT company_id, author_name, rating, concat(text, '!'), date FROM reviews WHERE id % 3 = 0
@@ -185,7 +206,8 @@ NEW_REVIEWS = f"""
             FROM ({REVIEWS}) q),
     one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_id, author_name, text
                                                         ORDER BY date, rating) AS rn FROM inc) q WHERE rn = 1),
-    ins AS (SELECT *, concat(CAST(company_id AS STRING), '/', author_name, '/', text) AS k FROM one o
+    ins AS (SELECT *, concat('key/', length(CAST(company_id AS STRING)), ':', company_id, length(author_name), ':', author_name,
+                              length(text), ':', text) AS k FROM one o
             WHERE NOT EXISTS (SELECT 1 FROM reviews r WHERE r.company_id = o.company_id
                               AND r.author_name = o.author_name AND r.text = o.text))"""
 

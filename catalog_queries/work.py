@@ -149,7 +149,22 @@ CANDIDATES = """SELECT c.id AS pos, c.city_id, c.source AS category, c.rating +
 )
 def h06(fx):
     cand = fx.sql(f"SELECT * FROM ({CANDIDATES.replace('//', 'DIV')}) c")
-    return H.select_quality(cand, 5).select("pos", "city_id", "category", "outcome")
+    return H.select_quality(cand).select("pos", "city_id", "category", "outcome")
+
+
+HIGH_QUOTA = CANDIDATES.replace("1 + ci.weight // 150000", "200 + ci.id")
+
+
+@register(
+    "h06_quota_unbounded",
+    f"""WITH cand AS ({HIGH_QUOTA}),
+             r AS (SELECT *, row_number() OVER (PARTITION BY city_id, category ORDER BY pos) AS rn FROM cand)
+        SELECT pos, CASE WHEN coalesce(rating, 0) >= 4.0 AND coalesce(review_count, 0) >= 5 AND NOT failed THEN 'saved'
+                         WHEN failed THEN 'failed' ELSE 'skipped' END AS outcome FROM r WHERE rn <= 2 * quota""",
+)
+def h06_unbounded(fx):
+    """Quotas that no list reaches: every good candidate is saved."""
+    return H.select_quality(fx.sql(f"SELECT * FROM ({HIGH_QUOTA}) c")).select("pos", "outcome")
 
 
 GRID = [("v", "view"), ("c", "click"), ("p", "purchase"), ("s", "signup"), ("e", "error"), ("o", "other")]
@@ -169,6 +184,23 @@ def h07(fx):
     return H.work_grid(fx.cities, done, GRID).select("city_id", "city", "source_slug", "slug", "pos")
 
 
+UNFINISHED = """SELECT event_type AS task_type, 'stopped' AS status, CAST(COUNT(*) AS INT) AS items,
+                       CAST(NULL AS TIMESTAMP) AS completed_at FROM events GROUP BY event_type"""
+
+
+@register(
+    "h08_close_unfinished",
+    f"""WITH res AS ({UNFINISHED}),
+             o AS (SELECT id, row_number() OVER (PARTITION BY task_type ORDER BY started_at DESC, id DESC) AS rn
+                   FROM run_log WHERE status = 'started')
+        SELECT l.id, l.task_type, coalesce(res.status, l.status) AS status, coalesce(res.items, l.items) AS items
+        FROM run_log l LEFT JOIN o ON o.id = l.id AND o.rn = 1 LEFT JOIN res ON res.task_type = l.task_type AND o.id IS NOT NULL""",
+)
+def h08_unfinished(fx):
+    """Results without an end still close the run they belong to."""
+    return H.close_runs(fx.run_log, fx.sql(f"SELECT * FROM ({UNFINISHED}) r")).select("id", "task_type", "status", "items")
+
+
 RESULTS = """SELECT event_type AS task_type, 'done' AS status, CAST(COUNT(*) AS INT) AS items,
                     MAX(ts) AS completed_at FROM events WHERE event_type <> 'error' GROUP BY event_type"""
 

@@ -92,7 +92,8 @@ VIEWS = {
                rating, review_count
         FROM companies WHERE id % 7 < 3""",
     "favorites": """
-        SELECT DISTINCT user_id, event_id % 150 AS company_id FROM events WHERE event_type = 'purchase'""",
+        SELECT DISTINCT user_id, event_id % (SELECT COUNT(*) FROM customer) AS company_id
+        FROM events WHERE event_type = 'purchase'""",
     "run_log": """
         SELECT event_id AS id, event_type AS task_type,
                CASE WHEN event_id % 3 = 0 THEN 'started' ELSE 'completed' END AS status,

@@ -46,10 +46,16 @@ def join_known(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 
 def best_per_key(df: DataFrame, keys: Sequence[str], order: Column, newest: bool = False) -> DataFrame:
     """One row per key: the first (or last) in ``order``. An aggregate, so each map task sends one row per key and a
-    hot key costs no more than any other."""
+    hot key costs no more than any other.
+
+    A row without an order is taken only where its key has no other. Ties go by a hash of the row, the same on every run.
+    """
     pick = F.max_by if newest else F.min_by
     rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(pick(F.struct(*rest), order).alias("_row"))
+    plain = [c for c, kind in df.dtypes if c in rest and "map<" not in kind and "variant" not in kind]
+    tie = F.xxhash64(*plain) if plain else F.lit(0).cast("bigint")
+    rank = F.struct((order.isNotNull() if newest else order.isNull()).alias("known"), order.alias("order"), tie.alias("tie"))
+    picked = df.groupBy(*keys).agg(pick(F.struct(*rest), rank).alias("_row"))
     return picked.select(*keys, "_row.*").select(*df.columns)
 
 

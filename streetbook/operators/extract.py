@@ -453,10 +453,19 @@ def title_column(tree: Column) -> Column:
     return H.text(tree, H.first(_nodes(tree, lambda x: x["tag"] == "title")))
 
 
-def extract_pages(pages: DataFrame, keep: Sequence[str] = ("url",)) -> DataFrame:
-    """Everything of a microdata detail page in one pass, anti-bot pages left out: one row per page, no shuffle."""
+def extract_pages(pages: DataFrame, keep: Sequence[str] = ("url",), failed: bool = False) -> DataFrame:
+    """Everything of a microdata detail page in one pass, one row per page, no shuffle.
+
+    Pages that were not fetched and anti-bot pages are left out. With ``failed`` they stay, marked in a column ``failed``.
+    """
     tree = F.col("tree")
-    parsed = with_tree(pages).filter(~is_block_page(title_column(tree)))
+    if failed:
+        parsed = pages.withColumn("tree", H.page_tree("html"))
+        lost = F.coalesce(F.col("html") == "", F.lit(True)) | is_block_page(title_column(tree))
+        parsed = parsed.withColumn("failed", lost)
+        keep = (*keep, "failed")
+    else:
+        parsed = with_tree(pages).filter(~is_block_page(title_column(tree)))
     fields = {n: c for n, c in microdata_fields(tree).items()}
     fields["description"] = description_column(tree)
     fields["working_hours"] = hours_column(tree)

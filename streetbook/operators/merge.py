@@ -20,6 +20,7 @@ from streetbook.operators.common import (
     key_copies,
     max_id,
     small_table,
+    spread_key,
     union_aligned,
 )
 
@@ -33,11 +34,15 @@ NAME_UPSERT_FIELDS = ("address", "phone", "website", "description", "rating")
 
 @dataclass(frozen=True)
 class Upsert:
-    """Result of an upsert: the new snapshot, ``incoming key -> id`` and the rows that met two companies."""
+    """Result of an upsert: the new snapshot, ``incoming key -> id`` and the rows that met two companies.
+
+    ``matched`` holds every incoming row with the ``id`` of its company, also those that another row overruled.
+    """
 
     snapshot: DataFrame
     assigned: DataFrame
     conflicts: DataFrame
+    matched: DataFrame | None = None
 
 
 def _row_order(inc: DataFrame, order: Column | None) -> Column:
@@ -69,6 +74,7 @@ def upsert_companies(
     """
     if mode not in ("overwrite", "fill_empty"):
         raise ValueError(mode)
+    columns = [c for c in inc.columns if c != "id"]
     inc = inc.withColumn("_order", _row_order(inc, order))
     by_ext = cur.groupBy("external_id").agg(F.min("id").alias("_by_ext"))
     by_url = cur.groupBy("url").agg(F.min("id").alias("_by_url"))
@@ -87,11 +93,17 @@ def upsert_companies(
         .when(F.col("_owner").isNotNull(), F.concat(F.lit("x"), "_owner"))
         .when(F.col("url").isNotNull(), F.concat(F.lit("u"), "url"))
     )
-    fresh = fresh.withColumn("_key", own_key).withColumn("external_id", F.coalesce("external_id", "_owner"))
+    given = fresh.withColumn("_key", own_key)
+    fresh = given.withColumn("external_id", F.coalesce("external_id", "_owner"))
     fresh = fresh.drop("_owner")
     keyed = best_per_key(fresh.filter("_key is not null"), ["_key"], F.col("_order"), newest=True)
     loose = key_copies(fresh.filter("_key is null").drop("_key")).select(*keyed.columns)
-    created = allocate_ids(keyed.unionByName(loose), max_id(cur), F.col("_key"))
+    rows = keyed.unionByName(loose).withColumn("_of", F.col("_key"))
+    created = allocate_ids(rows, max_id(cur), F.col("_key"))
+    matched = met.filter("_target is not null").select(*columns, F.col("_target").alias("id"))
+    numbers = created.select(F.col("_of").alias("_key"), "id")
+    matched = matched.unionByName(given.filter("_key is not null").join(numbers, "_key").select(*columns, "id"))
+    matched = matched.unionByName(created.filter("_of like 'r%'").select(*columns, "id"))
 
     incoming = hits.select(F.col("_target").alias("id"), F.struct(*inc.columns).alias("_in"))
     joined = cur.join(incoming, "id", "left")
@@ -115,7 +127,7 @@ def upsert_companies(
     snapshot = union_aligned(joined.select(*out), inserts)
     assigned = hits.select("external_id", "url", F.col("_target").alias("id"), F.lit("updated").alias("action"))
     assigned = assigned.unionByName(created.select("external_id", "url", "id", F.lit("inserted").alias("action")))
-    return Upsert(snapshot, assigned, conflicts)
+    return Upsert(snapshot, assigned, conflicts, matched)
 
 
 def _incoming_value(name: str, inc: DataFrame) -> Column:
@@ -203,8 +215,9 @@ def insert_reviews(cur: DataFrame, inc: DataFrame, order: Column | None = None)
     named = named.withColumn("_order", _row_order(named, order))
     first = best_per_key(named.drop("id"), keys, F.col("_order")).drop("_order")
     fresh = join_known(first, cur.select(*keys).distinct(), keys, "left_anti")
-    key = F.concat_ws("/", F.col("company_id").cast("string"), "author_name", "text")
-    inserted = allocate_ids(fresh, max_id(cur), key)
+    # a review without a company is one of its own content, like any other key
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    inserted = allocate_ids(fresh, max_id(cur), spread_key(parts, F.lit("")))
     return union_aligned(cur, inserted), inserted
 
 

@@ -103,19 +103,20 @@ def quota(weight: Column | str, tiers: Sequence[tuple[int | None, int]] = tuple(
 
 def select_quality(
     cand: DataFrame,
-    max_quota: int,
     min_rating: float = S.MIN_RATING,
     min_reviews: int = S.MIN_REVIEWS,
 ) -> DataFrame:
     """Apply quota and quality gate to ``cand(city_id, category, pos, quota, rating, review_count[, failed])``.
 
     Of each city and category the first ``2 * quota`` candidates in list order are looked at and the first ``quota``
-    that pass are saved. Adds ``outcome``: ``saved``, ``skipped``, ``failed`` or ``not_reached``. ``max_quota`` is the
-    highest quota of the tiers: as a constant it lets Spark cut each group to that many rows before the shuffle.
+    that pass are saved. Adds ``outcome``: ``saved``, ``skipped``, ``failed`` or ``not_reached``. A candidate without a
+    city or category has no list to stand in and is ``failed``; so is one without a quota, for its city is not known.
     """
     group = ["city_id", "category"]
-    ranked = cand.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy("pos")))
-    looked = ranked.filter(F.col("_rank") <= 2 * max_quota).filter(F.col("_rank") <= 2 * F.col("quota"))
+    homeless = F.col("city_id").isNull() | F.col("category").isNull() | F.col("quota").isNull()
+    lost = cand.filter(homeless).withColumn("outcome", F.lit("failed"))
+    ranked = cand.filter(~homeless).withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy("pos")))
+    looked = ranked.filter(F.col("_rank") <= 2 * F.col("quota"))
     failed = F.coalesce("failed", F.lit(False)) if "failed" in cand.columns else F.lit(False)
     good = (F.coalesce("rating", F.lit(0)) >= min_rating) & (F.coalesce("review_count", F.lit(0)) >= min_reviews)
     passed = looked.withColumn("_good", good & ~failed)
@@ -128,7 +129,7 @@ def select_quality(
         .when(failed, "failed")
         .otherwise("skipped")
     )
-    return counted.withColumn("outcome", outcome).drop("_rank", "_good", "_saved")
+    return counted.withColumn("outcome", outcome).drop("_rank", "_good", "_saved").unionByName(lost)
 
 
 def work_grid(
