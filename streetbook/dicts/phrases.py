@@ -92,8 +92,12 @@ PHONE_PATTERNS = [
 URL_PATTERN = r"(?i)https?://[^\s,]+"
 URL_TAIL = ".,;:!?)'\""
 LATIN_LEFT_BOUND = r"(?<![A-Za-z0-9_])"
-HOST_PATTERN = r"([a-z0-9][a-z0-9\-]*(?:\.[a-z0-9][a-z0-9\-]*)*\.[a-z]{2,})(?:/[^\s,]*)?"
-STRICT_HOST_PATTERN = r"([a-z0-9][a-z0-9\-]*(?:\.[a-z0-9][a-z0-9\-]*)+\.[a-z]{2,})"
+HOST_PATH = r"(?:/[^\s,]*)?"
+# Labels joined by dots. The repeats never give back, so a text of any length is walked once and without recursion; of such
+# a chain the host reaches to its last label that begins with two letters.
+HOST_CHAIN = r"[a-z0-9][a-z0-9\-]*+(?:\.[a-z0-9][a-z0-9\-]*+)++"
+HOST_OF_CHAIN = r"(?i)^(.*\.[a-z]{2,})"
+STRICT_HOST_OF_CHAIN = r"(?i)^([^.]++\..*\.[a-z]{2,})"
 
 # Price and portion of a menu row.
 PRICE_PATTERN = r"(?U)([\d\s]+)\s*руб\."

@@ -30,7 +30,20 @@ def extract_website(
     The directory's own hosts are never a website and stay in the text, so that a footer naming one can still be
     cut. ``strict`` wants two dots in a bare host, skips the e-mail test and removes only what it accepts.
     """
-    pattern = r"(?i)" + P.LATIN_LEFT_BOUND + (P.STRICT_HOST_PATTERN if strict else P.HOST_PATTERN)
+    chains = F.lit(r"(?i)" + P.LATIN_LEFT_BOUND + P.HOST_CHAIN)
+    of_chain = P.STRICT_HOST_OF_CHAIN if strict else P.HOST_OF_CHAIN
+
+    def first_host(t: Column) -> Column:
+        hosts = F.transform(F.regexp_extract_all(t, chains, F.lit(0)), lambda c: F.regexp_extract(c, of_chain, 1))
+        found = F.coalesce(F.get(F.filter(hosts, lambda h: h != ""), F.lit(0)), F.lit(""))
+        return F.when(F.contains(t, F.lit(".")), found).otherwise(F.when(t.isNotNull(), ""))
+
+    def with_path(t: Column, host: Column) -> Column:
+        """The host as it stands in the text with the path after it. No earlier place can hold it."""
+        if strict:
+            return host
+        place = F.concat(F.lit(r"(?i)" + P.LATIN_LEFT_BOUND), quote(host), F.lit(P.HOST_PATH))
+        return F.when(host != "", F.coalesce(F.regexp_substr(t, place), host)).otherwise(host)
 
     def from_url(t: Column) -> Column:
         def build(hit: Column) -> Column:
@@ -57,7 +70,7 @@ def extract_website(
                     F.when(ok, F.replace(t, whole, F.lit(""))).otherwise(t).alias("text"),
                     F.when(ok, F.concat(F.lit("https://"), host)).otherwise(site).alias("website"),
                 )
-            mail = F.regexp_like(t, F.concat(F.lit(r"(?i)[a-z0-9._%+-]+@"), quote(host)))
+            mail = F.regexp_like(t, F.concat(F.lit(r"(?i)(?<=[a-z0-9._%+-])@"), quote(host)))
             ok = (host != "") & ~own & ~known & ~mail
             cut = F.regexp_replace(t, F.concat(F.lit(r"(?i)" + P.LATIN_LEFT_BOUND), quote(whole)), F.lit(""))
             return F.struct(
@@ -65,7 +78,7 @@ def extract_website(
                 F.coalesce(site, F.when(ok, F.concat(F.lit("https://"), whole))).alias("website"),
             )
 
-        return let(F.regexp_extract(t, pattern, 0), build)
+        return let(first_host(t), lambda host: let(with_path(t, host), build))
 
     return let(col(text), lambda t: let(from_url(t), from_host))
 

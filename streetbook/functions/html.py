@@ -1,13 +1,16 @@
 """Page trees: one Arrow function turns markup into arrays, everything after it is column work inside the row.
 
-``page_tree(html)`` gives ``struct<texts, nodes>``. ``nodes`` lists the elements in document order; a node's
+``page_tree(html)`` gives ``struct<texts, nodes, menu>``; ``menu`` holds the sections of an embedded menu as JSON texts. ``nodes`` lists the elements in document order; a node's
 descendants are the next ``last - id`` entries, and its text is ``texts[t0:t1]``. A page stays one row, so selecting
 and nesting need no shuffle.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import sys
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -31,6 +34,7 @@ SAME_LEVEL = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"},
     "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
 }
+EMBEDDED_MENU = re.compile(r'"menu":\s*(\{.*?\}),\s*"', re.ASCII)
 ATTRIBUTES = {"class": "cls", "itemprop": "prop", "content": "content", "href": "href", "data-testid": "testid"}
 
 
@@ -42,9 +46,16 @@ class _Tree(HTMLParser):
         self.nodes: list[dict] = []
         self.texts: list[str] = []
         self.open: list[dict] = []
+        self.opened: Counter[str] = Counter()
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![`` begins a comment up to the next ``>``, as in browsers; the base class raises on unknown sections."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
 
     def _close_top(self) -> None:
         node = self.open.pop()
+        self.opened[node["tag"]] -= 1
         node["last"] = len(self.nodes) - 1
         node["t1"] = len(self.texts)
 
@@ -62,6 +73,7 @@ class _Tree(HTMLParser):
         self.nodes.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.opened[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -69,7 +81,7 @@ class _Tree(HTMLParser):
             self._close_top()
 
     def handle_endtag(self, tag: str) -> None:
-        if any(n["tag"] == tag for n in self.open):
+        if self.opened[tag]:
             while self.open[-1]["tag"] != tag:
                 self._close_top()
             self._close_top()
@@ -79,6 +91,36 @@ class _Tree(HTMLParser):
             self.texts.append(data)
 
 
+def _entries(text: str) -> list[dict] | None:
+    """Keys of a JSON object, each with the text of its last value; null if it is no such object."""
+    decoder, out = json.JSONDecoder(), {}
+    try:
+        i = _skip(text, 0, "{")
+        while text[i] != "}":
+            key, i = decoder.raw_decode(text, i)
+            start = _skip(text, _skip(text, i, ""), ":")
+            _, i = decoder.raw_decode(text, start)
+            out[key] = text[start:i]
+            i = _skip(text, i, "")
+            if text[i] != "}":
+                i = _skip(text, i, ",")
+    except (ValueError, IndexError):
+        return None
+    return [{"key": k, "value": v} for k, v in out.items()] if all(isinstance(k, str) for k in out) else None
+
+
+def _skip(text: str, i: int, mark: str) -> int:
+    """The place after white space, ``mark`` and more white space."""
+    while text[i].isspace():
+        i += 1
+    if not text.startswith(mark, i):
+        raise ValueError(mark)
+    i += len(mark)
+    while mark and text[i].isspace():
+        i += 1
+    return i
+
+
 def _parse(html: str | None) -> dict | None:
     if html is None:
         return None
@@ -87,7 +129,8 @@ def _parse(html: str | None) -> dict | None:
     tree.close()
     while tree.open:
         tree._close_top()
-    return {"texts": tree.texts, "nodes": tree.nodes}
+    found = EMBEDDED_MENU.search(html)
+    return {"texts": tree.texts, "nodes": tree.nodes, "menu": _entries(found[1]) if found else None}
 
 
 _NODE = [("id", "int"), ("last", "int")]
@@ -96,13 +139,15 @@ _NODE += [("t0", "int"), ("t1", "int")]
 
 _ARROW = {"int": pa.int32(), "string": pa.string()}
 _SPARK = {"int": T.IntegerType(), "string": T.StringType()}
+_PAIRS = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))
 _TREE = pa.struct(
-    [("texts", pa.list_(pa.string())), ("nodes", pa.list_(pa.struct([(n, _ARROW[k]) for n, k in _NODE])))]
+    [("texts", pa.list_(pa.string())), ("nodes", pa.list_(pa.struct([(n, _ARROW[k]) for n, k in _NODE]))), ("menu", _PAIRS)]
 )
 TREE_TYPE = T.StructType(
     [
         T.StructField("texts", T.ArrayType(T.StringType())),
         T.StructField("nodes", T.ArrayType(T.StructType([T.StructField(n, _SPARK[k]) for n, k in _NODE]))),
+        T.StructField("menu", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("key", "value")]))),
     ]
 )
 
@@ -161,22 +206,28 @@ def text(tree: Column, node: Column) -> Column:
     return squeeze(raw_text(tree, node))
 
 
-def keep_first(items: Column, key) -> Column:
-    """Items whose key has not come before."""
+def _by_key(items: Column, key, build) -> Column:
+    """``build(keys)`` over ``struct<key, at>`` of the items that have a key, sorted: equal keys stand together."""
+    keys = F.transform(items, lambda x, i: F.struct(key(x).alias("key"), i.alias("at")))
+    return let(F.array_sort(F.filter(keys, lambda k: k["key"].isNotNull())), build)
+
+
+def _ends(keys: Column, step: int) -> Column:
+    """The first (``step`` -1) or last (1) place of each key."""
+    return F.filter(keys, lambda k, i: ~k["key"].eqNullSafe(F.get(keys, i + step)["key"]))
 
-    def build(keys: Column) -> Column:
-        return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
 
-    return let(F.transform(items, key), build)
+def keep_first(items: Column, key) -> Column:
+    """Items whose key has not come before."""
+    places = lambda keys: F.array_sort(F.transform(_ends(keys, -1), lambda k: k["at"]))
+    return let(items, lambda xs: F.transform(_by_key(xs, key, places), lambda at: F.get(xs, at)))
 
 
 def keyed(items: Column, key) -> Column:
     """One item per key, at the place of the key's first item with the value of its last."""
 
-    def build(xs: Column) -> Column:
-        def newest(x: Column) -> Column:
-            return last(F.filter(xs, lambda y: key(y) == key(x)))
-
-        return F.transform(keep_first(xs, key), newest)
+    def places(keys: Column) -> Column:
+        pair = lambda a, b: F.struct(a["at"].alias("first"), b["at"].alias("last"))
+        return F.array_sort(F.zip_with(_ends(keys, -1), _ends(keys, 1), pair))
 
-    return let(items, build)
+    return let(items, lambda xs: F.transform(_by_key(xs, key, places), lambda p: F.get(xs, p["last"])))

@@ -384,8 +384,11 @@ def smart_menu_column(tree: Column) -> Column:
     return F.map_from_entries(H.keyed(groups, lambda g: g["section"]))
 
 
-def menu_json_column(html: Column) -> Column:
-    """Menu from data embedded in the page: ``"menu"`` by section, then ``"priceList"``, which wins on one section."""
+def menu_json_column(tree: Column, html: Column) -> Column:
+    """Menu from data embedded in the page: ``"menu"`` by section, then ``"priceList"``, which wins on one section.
+
+    A section that ``"menu"`` holds twice has its last items.
+    """
     item = "array<struct<name:string,title:string,price:string,portion:string,weight:string>>"
 
     def clean(items: Column) -> Column:
@@ -398,8 +401,9 @@ def menu_json_column(html: Column) -> Column:
             ),
         )
 
-    by_section = F.from_json(F.regexp_extract(html, r'"menu":\s*(\{.*?\}),\s*"', 1), f"map<string,{item}>")
-    menu = F.transform_values(F.map_filter(by_section, lambda _, v: v.isNotNull()), lambda _, v: clean(v))
+    parsed = F.transform(tree["menu"], lambda e: F.struct(e["key"].alias("key"), F.from_json(e["value"], item).alias("items")))
+    known = F.filter(parsed, lambda e: e["items"].isNotNull())
+    menu = F.map_from_entries(F.transform(known, lambda e: F.struct(e["key"], clean(e["items"]))))
     lists = F.from_json(
         F.regexp_extract(html, r'"priceList":\s*(\[(?:[^\[\]]++|\[[^\[\]]*+\])*+\])', 1),
         f"array<struct<category:string,title:string,items:{item},dishes:{item}>>",
@@ -424,7 +428,7 @@ def menu_json_column(html: Column) -> Column:
 
 def full_menu(tree: Column, html: Column) -> Column:
     """Visible menu, else the embedded one."""
-    return let(menu_column(tree), lambda m: F.when(F.size(m) > 0, m).otherwise(menu_json_column(html)))
+    return let(menu_column(tree), lambda m: F.when(F.size(m) > 0, m).otherwise(menu_json_column(tree, html)))
 
 
 def menu_long(df: DataFrame, key: str, menu: str = "menu") -> DataFrame:
