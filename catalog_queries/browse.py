@@ -327,12 +327,11 @@ def f17(fx):
 
 @register(
     "f18_tags_by_category",
-    """SELECT category, string_agg(concat(CAST(id AS STRING), ':', name, ':', slug), '|' ORDER BY id) AS tags
-       FROM tags WHERE category IS NOT NULL GROUP BY category""",
+    """SELECT category, row_number() OVER (PARTITION BY category ORDER BY id) AS pos, id, name, slug
+       FROM tags WHERE category IS NOT NULL""",
 )
 def f18(fx):
-    shown = F.transform("tags", lambda t: F.concat_ws(":", t["id"].cast("string"), t["name"], t["slug"]))
-    return B.tags_by_category(fx.catalog("tags")).select("category", F.array_join(shown, "|").alias("tags"))
+    return B.tags_by_category(fx.catalog("tags"))
 
 
 @register(
@@ -344,7 +343,7 @@ def f18(fx):
 )
 def f19(fx):
     cat = fx.catalog("companies", "cities", "categories", "company_categories")
-    slug = fx.cities.filter("id = 5").select("slug").first()["slug"]
+    slug = fx.cities.filter("id = 5").select("slug").scalar()
     return B.city_category(cat, slug, "brand-12").select("id", "name", "rating", "category_name")
 
 

@@ -185,6 +185,13 @@ def category_facet(cat: Catalog, city_id: int) -> DataFrame:
     )
 
 
+def with_linked(rows: DataFrame, links: DataFrame, *aggregates: Column) -> DataFrame:
+    """``rows`` (one for each ``id``) with aggregates over their ``links`` (by ``company_id``), in one pass over both."""
+    joined = rows.join(links.withColumnRenamed("company_id", "id"), "id", "left")
+    grouped = joined.groupBy("id").agg(F.any_value(F.struct(*rows.columns)).alias("_row"), *aggregates)
+    return grouped.select("_row.*", *[c for c in grouped.columns if c not in ("id", "_row")])
+
+
 def companies_with_categories(
     cat: Catalog,
     city_id: int,
@@ -213,19 +220,9 @@ def companies_with_categories(
     }.get(sort, [F.desc_nulls_last("rating"), F.asc("name")]) + [F.asc("id")]
     top = hits.orderBy(*order).limit(n)
     names = cat.categories.select(F.col("id").alias("category_id"), F.col("name").alias("_category"))
-    mine = (
-        links.join(top.select(F.col("id").alias("company_id")), "company_id", "left_semi")
-        .join(names, "category_id")
-        .groupBy(F.col("company_id").alias("id"))
-        .agg(
-            F.sort_array(F.collect_set("_category")).alias("categories"),
-            F.sort_array(F.collect_set("category_id")).alias("category_ids"),
-        )
-    )
-    out = top.join(mine, "id", "left")
-    for name in ("categories", "category_ids"):
-        kind = "string" if name == "categories" else "bigint"
-        out = out.withColumn(name, F.coalesce(name, F.array().cast(f"array<{kind}>")))
+    named = links.join(names, "category_id").select("company_id", "category_id", "_category")
+    sets = {"categories": "_category", "category_ids": "category_id"}
+    out = with_linked(top, named, *[F.sort_array(F.collect_set(c)).alias(n) for n, c in sets.items()])
     return out.orderBy(*order)
 
 
@@ -240,20 +237,13 @@ def company_detail(cat: Catalog, ids: Sequence[int] | DataFrame) -> DataFrame:
         picked = cat.companies.join(ids.select("id").distinct(), "id", "left_semi")
     else:
         picked = cat.companies.filter(F.col("id").isin(list(ids)))
-    mine = picked.select(F.col("id").alias("company_id"))
     names = cat.categories.select(F.col("id").alias("category_id"), F.col("name").alias("_n"))
-    categories = cat.company_categories.join(mine, "company_id", "left_semi").join(names, "category_id")
-    categories = categories.groupBy(F.col("company_id").alias("id")).agg(
-        F.sort_array(F.collect_set("_n")).alias("category_names")
-    )
+    categories = cat.company_categories.join(names, "category_id").select("company_id", "_n")
     tag_names = cat.tags.select(F.col("id").alias("tag_id"), F.col("name").alias("_n"))
-    tags = cat.company_tags.join(mine, "company_id", "left_semi").join(tag_names, "tag_id")
-    tags = tags.groupBy(F.col("company_id").alias("id")).agg(F.sort_array(F.collect_set("_n")).alias("tag_names"))
-    out = with_city(picked, cat.cities, slug=True).join(categories, "id", "left").join(tags, "id", "left")
-    empty = F.array().cast("array<string>")
-    return out.withColumn("category_names", F.coalesce("category_names", empty)).withColumn(
-        "tag_names", F.coalesce("tag_names", empty)
-    )
+    tags = cat.company_tags.join(tag_names, "tag_id").select("company_id", "_n")
+    # one link table after the other: both at once would pair every category with every tag
+    out = with_linked(with_city(picked, cat.cities, slug=True), categories, F.sort_array(F.collect_set("_n")).alias("category_names"))
+    return with_linked(out, tags, F.sort_array(F.collect_set("_n")).alias("tag_names"))
 
 
 def company_tags(cat: Catalog) -> DataFrame:
@@ -276,15 +266,13 @@ def company_tags(cat: Catalog) -> DataFrame:
 
 
 def tags_by_category(cat: Catalog) -> DataFrame:
-    """Tags nested under their category; tags without one are left out."""
-    named = cat.tags.filter("category is not null")
-    return named.groupBy("category").agg(
-        F.sort_array(F.collect_list(F.struct("id", "name", "slug"))).alias("tags")
-    ).orderBy("category")
+    """Tags under their category, one row each with its place ``pos`` by id; tags without a category are left out."""
+    place = F.row_number().over(Window.partitionBy("category").orderBy("id")).cast("bigint")
+    return cat.tags.filter("category is not null").select("category", place.alias("pos"), "id", "name", "slug")
 
 
-def city_category(cat: Catalog, city: str, category: str) -> DataFrame:
-    """Companies of a city in a category, both by slug, best rated first."""
+def city_category(cat: Catalog, city: str | Column, category: str | Column) -> DataFrame:
+    """Companies of a city in a category, both by slug (also a scalar subquery), best rated first."""
     town = cat.cities.filter(F.col("slug") == city).select(F.col("id").alias("city_id"))
     hits = cat.companies.join(town, "city_id", "left_semi")
     wanted = cat.categories.filter(F.col("slug") == category).select(

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streetbook.operators.browse import catalog, primary_category, sort_order, with_open_status
+from streetbook.operators.browse import catalog, sort_order, with_linked, with_open_status
 from streetbook.sources.catalog import Catalog
 
 
@@ -24,9 +24,10 @@ def catalog_page(
 ) -> DataFrame:
     """Rows of one page with city name, status label and primary category: one job, not one query per card."""
     rows = catalog(cat, city_id, category, q, sort, order, n, as_of if open_now else None)
-    ids = rows.select(F.col("id").alias("company_id"))
-    links = cat.company_categories.join(ids, "company_id", "left_semi")
-    cards = primary_category(cat.with_tables(company_categories=links)).select(
-        F.col("company_id").alias("id"), F.col("name").alias("category_name"), F.col("slug").alias("category_slug")
+    # the links join the rows that are kept, so companies are read and cut once
+    cards = with_linked(rows, cat.company_categories, F.min("category_id").alias("category_id"))
+    names = cat.categories.select(
+        F.col("id").alias("category_id"), F.col("name").alias("category_name"), F.col("slug").alias("category_slug")
     )
-    return with_open_status(rows.join(cards, "id", "left"), as_of).orderBy(*sort_order(sort, order))
+    cards = cards.join(names, "category_id", "left").drop("category_id")
+    return with_open_status(cards, as_of).orderBy(*sort_order(sort, order))
