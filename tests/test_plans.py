@@ -5,12 +5,18 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from streetbook.fixtures import Fixture
+from streetbook.operators.browse import company_detail
 
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name, scans", [("page_catalog", 1), ("f13_companies_with_categories", 1), ("f16_company_detail", 2)])
-def test_companies_are_read_once(spark, name, scans):
-    """F16 takes its ids from the favourites, and that view counts the companies."""
-    plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Relation [c_custkey") == scans
+def detail(spark, folder):
+    tables = ("companies", "cities", "categories", "company_categories", "tags", "company_tags")
+    return company_detail(Fixture(spark, folder).catalog(*tables), [1, 2, 3])
+
+
+@pytest.mark.parametrize("query", [entry.queries()["page_catalog"], entry.queries()["f13_companies_with_categories"], detail])
+def test_companies_are_read_once(spark, query):
+    plan = query(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [c_custkey") == 1
