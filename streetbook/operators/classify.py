@@ -159,7 +159,9 @@ def review_moderated(
             "_slug", F.col("_alias").alias("_spelling"), F.lit(1).alias("_rank")
         )
     )
-    resolve = spellings.groupBy("_spelling").agg(F.min_by("_slug", "_rank").alias("category_slug"))
+    # one row for each rule at most, so companies stay where they are
+    wanted = spellings.filter(F.col("_spelling").isin(list(rules)))
+    resolve = F.broadcast(wanted.groupBy("_spelling").agg(F.min_by("_slug", "_rank").alias("category_slug")))
     out = scored.join(resolve, F.col("_rule") == F.col("_spelling"), "left")
     outcome = (
         F.when(F.col("_stay"), "stay")

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from streetbook.fixtures import Fixture
+from streetbook.operators.classify import review_moderated
 from streetbook.operators.browse import company_detail
 
 FOLDER = "/root/testdata/sf0.001"
@@ -20,3 +21,10 @@ def detail(spark, folder):
 def test_companies_are_read_once(spark, query):
     plan = query(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [c_custkey") == 1
+
+
+def test_review_leaves_companies_in_place(spark):
+    companies = spark.range(1000).selectExpr("id", "cast(id as string) name", "'text' description")
+    categories = spark.createDataFrame([(1, "cafe")], "id int, slug string")
+    plan = review_moderated(companies, categories)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "hashpartitioning(_rule" not in plan
