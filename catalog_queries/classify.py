@@ -66,6 +66,28 @@ def d02_links(fx):
     return K.apply_moderation(flagged, fx.company_categories, fx.categories, catch_all="brand-5")[1]
 
 
+@register(
+    "d02_moderate_existing",
+    f"""WITH src AS ({TOLD}), cats AS (SELECT id, name, CASE WHEN slug = 'brand-5' THEN '{M.CATCH_ALL_SLUG}' ELSE slug END AS slug FROM categories),
+             hit AS (SELECT *, len(list_filter({_list(M.SENSITIVE_NAMES)}, lambda w: contains(lower(name), w))) > 0
+                         AS sensitive FROM src),
+             marked AS (SELECT id, {MARKED} AS name, sensitive FROM hit),
+             links AS (SELECT company_id, category_id FROM company_categories
+                       WHERE company_id NOT IN (SELECT id FROM hit WHERE sensitive)
+                             OR (SELECT COUNT(*) FROM cats WHERE slug = '{M.CATCH_ALL_SLUG}') = 0
+                       UNION ALL SELECT h.id, c.id FROM hit h JOIN cats c ON c.slug = '{M.CATCH_ALL_SLUG}' WHERE h.sensitive)
+        SELECT m.id, m.name, l.category_id FROM marked m LEFT JOIN links l ON l.company_id = m.id""",
+)
+def d02_existing(fx):
+    from streetbook.plans.moderation import moderate_existing
+
+    slug = F.when(F.col("slug") == "brand-5", M.CATCH_ALL_SLUG).otherwise(F.col("slug"))
+    cat = fx.catalog("company_categories", companies=_told(fx), categories=fx.categories.withColumn("slug", slug))
+    out = moderate_existing(cat)
+    links = out.company_categories.withColumnRenamed("company_id", "id")
+    return out.companies.join(links, "id", "left").select("id", "name", "category_id")
+
+
 SLUGS = dict(zip(M.REVIEW_RULES, ["brand-1", "brand-2", "brand-3", "brand-4", "brand-6", "brand-7", "brand-8", "lost",
                                   "brand-9", "brand-10"]))
 RULES = {SLUGS[k]: v for k, v in M.REVIEW_RULES.items()}

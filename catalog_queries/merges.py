@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog_queries import register
+from streetbook.dicts.sites import CITY_HOSTS, SUBDOMAIN_HOST
 from streetbook.operators import menus as U
 from streetbook.operators import merge as M
 
@@ -176,6 +177,25 @@ def e04(fx):
     return M.new_candidates(fx.incoming, fx.companies).select("external_id", "url", "city_id")
 
 
+HOST_ROWS = ", ".join(f"('{slug}', '{name}')" for slug, name in CITY_HOSTS)
+NAMED_CITIES = f"""SELECT c.id, coalesce(h.name, c.name) AS name, c.slug, c.region, c.url FROM cities c
+                   LEFT JOIN (SELECT * FROM (VALUES {', '.join(f"({2 * i}, '{n}')" for i, (_, n) in enumerate(CITY_HOSTS[:8]))}) v(id, name)) h
+                   ON h.id = c.id"""
+
+
+@register(
+    "e08_city_hosts",
+    f"""WITH cur AS ({NAMED_CITIES}), h AS (SELECT * FROM (VALUES {HOST_ROWS}) v(slug, name)),
+             fresh AS (SELECT * FROM h WHERE name NOT IN (SELECT name FROM cur))
+        SELECT c.id, c.name, c.slug, c.region, coalesce('https://' || h.slug || '.{SUBDOMAIN_HOST}', c.url) AS url
+        FROM cur c LEFT JOIN h ON h.name = c.name
+        UNION ALL SELECT CAST((SELECT MAX(id) FROM cur) + row_number() OVER (ORDER BY substr(md5(name), 1, 3), name) AS BIGINT),
+                         name, slug, NULL, 'https://' || slug || '.{SUBDOMAIN_HOST}' FROM fresh""",
+)
+def e08_hosts(fx):
+    return M.add_city_hosts(fx.sql(f"SELECT * FROM ({NAMED_CITIES}) n"))
+
+
 UNORDERED = """SELECT external_id, url, concat(name, ' again') AS name, phone, CAST(NULL AS INT) AS pos FROM companies WHERE id % 3 <> 2
                UNION ALL SELECT external_id, url, concat(name, ' first') AS name, phone, 1 FROM companies WHERE id % 3 = 1
                UNION ALL SELECT concat(external_id, '-n'), NULL, concat(name, ' new') AS name, phone, NULL FROM companies WHERE id % 3 = 0"""

@@ -131,6 +131,17 @@ def h05(fx):
     )
 
 
+BIG = "SELECT id, CASE id % 3 WHEN 0 THEN 'moscow' WHEN 1 THEN 'spb' ELSE slug END AS slug FROM cities"
+
+
+@register(
+    "h05_quota_fixed",
+    f"SELECT id, CASE slug WHEN 'moscow' THEN 30 WHEN 'spb' THEN 20 END AS quota FROM ({BIG}) q",
+)
+def h05_fixed(fx):
+    return fx.sql(f"SELECT * FROM ({BIG}) b").select("id", H.fixed_quota("slug").alias("quota"))
+
+
 CANDIDATES = """SELECT c.id AS pos, c.city_id, c.source AS category, c.rating + 1.2 AS rating, c.review_count,
                        1 + ci.weight // 150000 AS quota, c.id % 19 = 0 AS failed
                 FROM companies c JOIN cities ci ON ci.id = c.city_id"""
@@ -218,3 +229,14 @@ RESULTS = """SELECT event_type AS task_type, 'done' AS status, CAST(COUNT(*) AS
 def h08(fx):
     done = H.close_runs(fx.run_log, fx.sql(f"SELECT * FROM ({RESULTS}) r"))
     return done.select("id", "status", "items", F.col("completed_at").cast("string").alias("completed_at"))
+
+
+@register(
+    "h08_open_run",
+    """SELECT id, task_type, status FROM run_log
+       UNION ALL SELECT id + 1000000, concat(event_type, ' again'), 'started' FROM
+       (SELECT event_id AS id, event_type FROM events) e""",
+)
+def h08_open(fx):
+    new = fx.events.select((F.col("event_id") + 1_000_000).alias("id"), F.concat("event_type", F.lit(" again")).alias("task_type"))
+    return H.open_run(fx.run_log, new).select("id", "task_type", "status")

@@ -257,6 +257,14 @@ def merge_cities(cur: DataFrame, inc: DataFrame, mode: str) -> DataFrame:
     return union_aligned(out, allocate_ids(fresh, max_id(cur), F.col("name")))
 
 
+def add_city_hosts(
+    cities: DataFrame, hosts: Sequence[tuple[str, str]] = tuple(S.CITY_HOSTS), host: str = S.SUBDOMAIN_HOST
+) -> DataFrame:
+    """Write the second source's URL of each of its cities, and insert the cities that are not known by name."""
+    rows = [(slug, name, f"https://{slug}.{host}") for slug, name in hosts]
+    return merge_cities(cities, small_table(cities.sparkSession, rows, "slug string, name string, url string"), "set_url")
+
+
 def fix_city_slugs(cities: DataFrame, fixes: Sequence[tuple[str, str]] = S.CITY_SLUG_FIXES) -> DataFrame:
     return merge_cities(cities, small_table(cities.sparkSession, fixes, "name string, slug string"), "fix_slug")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,6 +101,15 @@ def quota(weight: Column | str, tiers: Sequence[tuple[int | None, int]] = tuple(
     return out.cast("int")
 
 
+def fixed_quota(slug: Column | str, table: Mapping[str, int] = S.BIG_CITY_QUOTA) -> Column:
+    """Records per category for the big cities, by slug; null for any other city."""
+    c = F.col(slug) if isinstance(slug, str) else slug
+    out = F.lit(None).cast("int")
+    for city, value in table.items():
+        out = F.when(c == city, F.lit(value)).otherwise(out)
+    return out
+
+
 def select_quality(
     cand: DataFrame,
     min_rating: float = S.MIN_RATING,
