@@ -146,7 +146,7 @@ def d04(fx):
     return K.review_summary(_reviewed(fx))
 
 
-SOURCES = list(C.invert(C.FIRST_SITE)) + ["unknown-one", "unknown-two"]
+SOURCES = list(C.FIRST_SITE) + ["unknown-one", "unknown-two"]
 
 
 def _values(rows) -> str:
@@ -157,12 +157,12 @@ def _values(rows) -> str:
     "d05_map_category",
     f"""WITH src AS (SELECT id, {_list(SOURCES)}[1 + id % {len(SOURCES)}] AS source_category FROM companies)
         SELECT s.id, s.source_category, coalesce(m.own, s.source_category) AS slug
-        FROM src s LEFT JOIN {_values(C.invert(C.FIRST_SITE).items())} m(source, own) ON m.source = s.source_category""",
+        FROM src s LEFT JOIN {_values(C.FIRST_SITE.items())} m(source, own) ON m.source = s.source_category""",
 )
 def d05(fx):
     pick = F.get(F.array(*[F.lit(s) for s in SOURCES]), (F.col("id") % len(SOURCES)).cast("int"))
     rows = fx.companies.select("id", pick.alias("source_category"))
-    return K.map_category(rows, C.invert(C.FIRST_SITE)).select("id", "source_category", "slug")
+    return K.map_category(rows, C.FIRST_SITE).select("id", "source_category", "slug")
 
 
 EXPANDED = [(own, i, s) for own, sources in C.SECOND_SITE.items() for i, s in enumerate(sources)]

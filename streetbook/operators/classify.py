@@ -209,7 +209,7 @@ def detect_category(
     The long word list of the name stage is an input (see ``load_rules``); the others default to the fixed tables.
     Columns that the frame lacks skip their stage.
     """
-    source_map = C.invert(C.CASCADE_SOURCE) if source_map is None else source_map
+    source_map = C.CASCADE_SOURCE if source_map is None else source_map
     stages: list[Column] = []
     if name_rules:
         stages.append(first_rule("name", name_rules))
