@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ HOT_PARTS = 1000
 #: Characters that separate words, as in the pattern ``[^\\x20\\x09-\\x0D]+``.
 WORD = r"[^\x20\x09-\x0D]+"
 
+ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; one is made and set only where the session names none."""
@@ -134,3 +136,43 @@ def whole_keys(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[l
             yield grouped([r[:cut] for r in rows])
     if held:
         yield grouped(held)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * ODD[2]
+    return x ^ (x >> np.uint64(29))
+
+
+PACKED = "bucket int, spans boolean, rows binary"
+
+
+def packed(rows: pa.RecordBatch | pa.Table, doc: np.ndarray, row: np.ndarray, buckets: int, spans: bool) -> pa.RecordBatch:
+    """Rows dealt to buckets by their document: one compressed block of Arrow data for each bucket."""
+    where = (mixed(mixed(doc.view(np.uint64)) + row.view(np.uint64)) >> np.uint64(20)) % np.uint64(buckets)
+    order = np.argsort(where, kind="stable")
+    bounds = np.flatnonzero(np.concatenate([[True], np.diff(where[order]) > 0])) if len(order) else np.zeros(0, np.int64)
+    groups = np.split(order, bounds[1:]) if len(order) else []
+    blocks = []
+    for group in groups:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write(rows.take(pa.array(group)))
+        blocks.append(sink.getvalue().to_pybytes())
+    columns = [pa.array([int(where[g[0]]) for g in groups], pa.int32()), pa.array([spans] * len(groups), pa.bool_())]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(blocks, pa.binary())], names=["bucket", "spans", "rows"])
+
+
+def opened(blocks: list[bytes]) -> list[pa.Table]:
+    return [pa.ipc.open_stream(b).read_all() for b in blocks]
+
+
+def deal_rows(rows: DataFrame, doc: str, row: str, buckets: int, spans: bool) -> DataFrame:
+    """``rows`` ``PACKED``: those of one document (``doc``, and ``row`` where one identifier has several texts) share a bucket.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = pc.fill_null(batch.column(doc).cast(pa.int64()), 0).to_numpy()
+            yield packed(batch, ids, batch.column(row).to_numpy(False).astype(np.int64), buckets, spans)
+
+    return rows.mapInArrow(deal, PACKED)

@@ -5,7 +5,7 @@ smaller identifier; so of all copies of a passage the first document's stays. St
 ones all count, and none crosses documents.
 
 No machine could sort the suffixes of all texts, so they are dealt out by content. Every window of 50 bytes has an anchor: the
-one of its 16-byte strings with the smallest hash, the leftmost of equals. Equal windows have equal anchors. Neighbouring
+one of its 12-byte strings with the smallest hash, the leftmost of equals. Equal windows have equal anchors. Neighbouring
 windows with one anchor are a run, and the run's text goes where its anchor's hash says; there all windows meet that could be
 equal. ``later_copies`` takes runs of one place: it sorts the suffixes of their texts (to a depth of one window), finds for
 each the previous and the next one in that order that belongs to a smaller document, and the longer of the two common
@@ -13,7 +13,8 @@ prefixes is the longest previous factor. Where that reaches a whole window, the
 
 The same is done first inside each task, over the texts it has at hand. Runs of which every window is a later copy there go no
 further, for their windows live on in the first copy's run: a passage that a third of all documents share, or a text with
-thousands of copies, is sent once for each piece of about ``CHUNK`` bytes. Equal runs of many documents enter the sort as two, the
+thousands of copies, is sent once for each piece of about ``CHUNK`` bytes. Runs whose bytes around the anchor no other document
+shares are left out of the sort. Equal runs of many documents enter the sort as two, the
 first and one for all others. Long texts are cut into slices that overlap by a window less one byte.
 
 Null texts are empty. Rows without identifier neither take nor give: nothing is smaller than null. Rows of one identifier with
@@ -32,15 +33,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from streetbook.llm.shared import tasks
+from streetbook.llm.shared import ODD, PACKED, deal_rows, mixed, opened, packed, tasks
 
-WINDOW, GRAM = 50, 16
-#: Bytes of text that are cut into runs at once, run bytes that meet in one place, windows that are sorted at once.
-CHUNK, PLACE, SORTED = 1 << 21, 1 << 25, 1 << 20
+WINDOW, GRAM = 50, 12
+#: A window holds this many bytes before its anchor or after it, or more.
+SIDE = (WINDOW - GRAM) // 2
+#: Bytes of text that are cut into runs at once, run bytes that meet in one place, windows that are sorted at once, and
+#: windows whose anchors are found at once.
+CHUNK, PLACE, SORTED, BLOCK = 1 << 22, 1 << 25, 1 << 19, 1 << 19
 #: Low bits of an anchor's key that hold its position, so that the smallest key is also the leftmost.
-_AT = np.uint64((1 << 23) - 1)
-_ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+_AT = np.uint64((1 << 20) - 1)
 
 
 def words(data: np.ndarray, kind: str = ">u8") -> np.ndarray:
@@ -49,17 +53,11 @@ def words(data: np.ndarray, kind: str = ">u8") -> np.ndarray:
     return np.ndarray((max(0, len(data) - size + 1),), dtype=kind, buffer=data, strides=(1,)) if len(data) >= size else np.zeros(0, kind)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _ODD[2]
-    return x ^ (x >> np.uint64(29))
-
-
-def gram_hashes(data: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
-    """A hash of the 16 bytes at every position, or at those given."""
-    eight = words(data, "<u8")
-    n = max(0, len(data) - GRAM + 1)
-    first, second = (eight[:n], eight[8 : 8 + n]) if at is None else (eight[at], eight[at + 8])
-    return mixed(mixed(first * _ODD[0]) + second * _ODD[1])
+def gram_hashes(data: np.ndarray, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """A hash of the 12 bytes at every position, or at those given."""
+    eight, four = words(data, "<u8"), words(data, "<u4")
+    first, second = (eight[at], four[at + 8]) if isinstance(at, np.ndarray) else (eight[: len(four) - 8], four[8:])
+    return mixed(mixed(first * ODD[0]) + second.astype(np.uint64) * ODD[1])
 
 
 class Runs:
@@ -79,15 +77,36 @@ class Runs:
         """A hash of each anchor's 16 bytes."""
         return gram_hashes(self.data, self.begin + self.anchor)
 
-    def digests(self) -> np.ndarray:
-        """A hash of each run's whole text, of other make than ``keys``."""
-        longest = int(self.length.max(initial=0)) + 7
+    def digests(self, begin: np.ndarray | None = None, length: np.ndarray | None = None) -> np.ndarray:
+        """A hash of each run's whole text, or of the bytes given, of other make than ``keys``."""
+        begin, length = (self.begin, self.length) if begin is None else (begin, length)
+        longest = int(length.max(initial=0)) + 7
         eight = words(np.concatenate([self.data, np.zeros(longest + 8, dtype=np.uint8)]), "<u8")
-        out = mixed(self.length.astype(np.uint64) * _ODD[3])
+        out = mixed(length.astype(np.uint64) * ODD[3])
         for k in range(0, longest - 7, 8):
-            left = np.clip(self.length - k, 0, 8).astype(np.uint64)
+            left = np.clip(length - k, 0, 8).astype(np.uint64)
             mask = np.where(left == 8, ~np.uint64(0), (np.uint64(1) << (left % np.uint64(8) * np.uint64(8))) - np.uint64(1))
-            out = mixed(out * _ODD[1] + (eight[self.begin + k] & mask)) ^ (out << np.uint64(7))
+            out = mixed(out * ODD[1] + (eight[begin + k] & mask)) ^ (out << np.uint64(7))
+        return out
+
+    def shared(self) -> np.ndarray:
+        """Which runs may hold a window of another document.
+
+        A common window reaches ``SIDE`` bytes to the left of its anchor or to the right, so those bytes are common too.
+        """
+        out = np.zeros(len(self), dtype=bool)
+        at = self.begin + self.anchor
+        for side in (-SIDE, 0):
+            room = self.anchor >= SIDE if side else self.length - self.anchor >= GRAM + SIDE
+            some = np.flatnonzero(room)
+            keys = self.digests(at[some] + side, np.full(len(some), GRAM + SIDE))
+            order = np.argsort(keys, kind="stable")
+            keys, doc = keys[order], self.doc[some[order]]
+            bounds = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            if len(bounds):
+                sizes = np.diff(np.concatenate([bounds, [len(keys)]]))
+                several = np.minimum.reduceat(doc, bounds) != np.maximum.reduceat(doc, bounds)
+                out[some[order[np.repeat(several, sizes)]]] = True
         return out
 
     def texts(self) -> np.ndarray:
@@ -109,22 +128,28 @@ def cut(pieces: list[tuple[int, int, int, bytes]]) -> Runs:
     if not len(pieces):
         none = np.zeros(0, dtype=np.int64)
         return Runs(data, none, none, none, none, none, none)
-    hashes = gram_hashes(data)
-    low = (hashes & ~_AT) | np.arange(len(hashes), dtype=np.uint64)
-    width, have = WINDOW - GRAM + 1, 1
-    while 2 * have <= width:
-        low, have = np.minimum(low[:-have], low[have:]), 2 * have
-    low = np.minimum(low[: len(low) - (width - have)], low[width - have :]) if width > have else low
-    at = (low & _AT).astype(np.int64)  # for each window of data the place of its anchor
-    windows = spread(starts, sizes - WINDOW + 1)  # those that lie in one piece
-    piece = np.repeat(np.arange(len(pieces)), sizes - WINDOW + 1)
-    at = at[windows]
-    new = np.concatenate([[True], (at[1:] != at[:-1]) | (piece[1:] != piece[:-1])])
-    first = np.flatnonzero(new)
-    last = np.concatenate([first[1:], [len(at)]]) - 1
-    begin, of = windows[first], piece[first]
+    n = len(data) - WINDOW + 1
+    at = np.empty(n, dtype=np.int32)  # for each window of data the place of its anchor
+    for start in range(0, n, BLOCK):
+        hashes = gram_hashes(data[start : start + BLOCK + WINDOW - 1])
+        low = (hashes & ~_AT) | np.arange(len(hashes), dtype=np.uint64)
+        width, have = WINDOW - GRAM + 1, 1
+        while 2 * have <= width:
+            low, have = np.minimum(low[:-have], low[have:]), 2 * have
+        low = np.minimum(low[: len(low) - (width - have)], low[width - have :]) if width > have else low
+        at[start : start + len(low)] = (low & _AT).astype(np.int32) + start
+    inside = np.ones(n + 1, dtype=bool)  # windows that lie in one piece
+    for start, size in zip(starts.tolist(), sizes.tolist()):
+        inside[start + size - WINDOW + 1 : start + size] = False
+    inside[n] = False
+    new = np.concatenate([[True], at[1:] != at[:-1]])
+    new[starts] = True
+    begin = np.flatnonzero(new & inside[:-1])
+    last = np.flatnonzero(inside[:-1] & np.concatenate([new[1:] | ~inside[1:n], [True]]))
+    of = np.searchsorted(starts, begin, side="right") - 1
     doc, row, offset = (np.array([p[k] for p in pieces], dtype=np.int64) for k in range(3))
-    return Runs(data, begin, windows[last] - begin + WINDOW, at[first] - begin, doc[of], row[of], offset[of] + begin - starts[of])
+    anchor = at[begin].astype(np.int64) - begin
+    return Runs(data, begin, last - begin + WINDOW, anchor, doc[of], row[of], offset[of] + begin - starts[of])
 
 
 def nearest_smaller(values: np.ndarray) -> np.ndarray:
@@ -172,16 +197,14 @@ def later_copies(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, dtype=np.int64)
     if not len(runs):
         return none, none, none
-    keys, digests = runs.keys(), runs.digests()
-    order = np.lexsort([runs.doc, digests, keys])
-    keys, digests, doc = keys[order], digests[order], runs.doc[order]
-    group = np.cumsum(np.concatenate([[True], keys[1:] != keys[:-1]])) - 1
-    bounds = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
-    several = np.minimum.reduceat(doc, bounds[:-1]) != np.maximum.reduceat(doc, bounds[:-1])
-    some = several[group]
-    order, keys, digests, doc, group = order[some], keys[some], digests[some], doc[some], group[some]
-    if not len(order):
+    some = np.flatnonzero(runs.shared())
+    if not len(some):
         return none, none, none
+    found = runs.take(some)
+    keys, digests = found.keys(), found.digests()
+    order = np.lexsort([found.doc, digests, keys])
+    keys, digests, doc, order = keys[order], digests[order], found.doc[order], some[order]
+    group = np.cumsum(np.concatenate([[True], keys[1:] != keys[:-1]])) - 1
     # equal runs: those of the first document, and those of all others; each kind is sorted once
     same = np.concatenate([[True], (keys[1:] != keys[:-1]) | (digests[1:] != digests[:-1])])
     text = np.cumsum(same) - 1
@@ -250,11 +273,16 @@ def span_batch(runs: Runs, run: np.ndarray, first: np.ndarray, last: np.ndarray)
     }
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Whole numbers with their first bytes together, then their second bytes and so on: most planes are all zero."""
+    return np.ascontiguousarray(values, dtype="<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
 def pack(runs: Runs) -> bytes:
     """Runs as bytes: a few arrays and their texts, compressed."""
-    arrays = [runs.doc, runs.row, runs.offset, runs.length.astype(np.uint8), runs.anchor.astype(np.uint8), runs.texts()]
-    body = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=3, write_content_size=True).compress(len(runs).to_bytes(8, "little") + body)
+    numbers = [planes(np.diff(x, prepend=np.int64(0))) for x in (runs.doc, runs.row)] + [planes(runs.offset)]
+    body = b"".join([*numbers, runs.length.astype(np.uint8).tobytes(), runs.anchor.astype(np.uint8).tobytes(), runs.texts().tobytes()])
+    return zstandard.ZstdCompressor(level=6, write_content_size=True).compress(len(runs).to_bytes(8, "little") + body)
 
 
 def unpack(blobs: list[bytes]) -> Runs:
@@ -262,9 +290,13 @@ def unpack(blobs: list[bytes]) -> Runs:
     for blob in blobs:
         body, at = zstandard.ZstdDecompressor().decompress(blob), 8
         n = int.from_bytes(body[:8], "little")
-        for field, kind in zip(fields, ("<i8", "<i8", "<i8", "u1", "u1")):
-            field.append(np.frombuffer(body, kind, n, at))
-            at += n * np.dtype(kind).itemsize
+        for k in range(3):
+            numbers = np.frombuffer(body, "u1", 8 * n, at).reshape(8, n).T.copy().view("<i8")[:, 0]
+            fields[k].append(numbers if k == 2 else np.cumsum(numbers))
+            at += 8 * n
+        for k in (3, 4):
+            fields[k].append(np.frombuffer(body, "u1", n, at))
+            at += n
         fields[5].append(np.frombuffer(body, "u1", offset=at))
     doc, row, offset, length, anchor, data = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in fields)
     length = length.astype(np.int64)
@@ -276,12 +308,27 @@ def slices(doc: int, row: int, text: bytes) -> Iterator[tuple[int, int, int, byt
         yield doc, row, start, text[start : start + CHUNK + WINDOW - 1]
 
 
-def removed_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Bytes to remove, as rows ``SPANS``; ``row`` is XXH64 of the text. A document may have several rows, whose spans overlap."""
-    spark = docs.sparkSession
+def told_apart(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``docs`` with ``_row``: a hash of the text where the identifier is null or occurs more than once, else 0."""
+    twice = docs.groupBy(F.col(doc_id).alias("_twice")).count().filter("count > 1 and _twice is not null").select("_twice")
+    if twice.isEmpty():
+        return docs.withColumn("_row", F.when(F.col(doc_id).isNull(), F.xxhash64(text)).otherwise(0).cast("long"))
+    marked = docs.join(twice, F.col(doc_id) == F.col("_twice"), "left")
+    return marked.withColumn("_row", F.when(F.col("_twice").isNotNull() | F.col(doc_id).isNull(), F.xxhash64(text)).otherwise(0).cast("long")).drop("_twice")
+
+
+def place_count(docs: DataFrame, text: str) -> int:
+    """Places for the runs of all texts; as runs overlap they are up to four times the text."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
+    return max(tasks(docs.sparkSession), 4 * size // PLACE)
+
+
+def removed_spans(docs: DataFrame, places: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Bytes to remove from ``docs`` (with ``_row``), ``PACKED`` in ``places`` buckets: rows of ``SPANS``.
+
+    A document may have several rows, whose spans overlap.
+    """
     texts = docs.filter(F.col(doc_id).isNotNull() & (F.octet_length(text) >= WINDOW))
-    size = texts.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
-    places = max(tasks(spark), 4 * size // PLACE)  # runs overlap: they are about four times the text
     names = ["place", "runs", "doc", "row", "begins", "ends"]
     schema = f"place int, runs binary, {SPANS}"
 
@@ -292,7 +339,7 @@ def removed_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             spans = span_batch(runs, run, first, last)
             copied = np.bincount(run, last - first, len(runs)) if len(run) else np.zeros(len(runs))
             left = runs.take(np.flatnonzero(copied < runs.length - WINDOW + 1))
-            keys = (left.keys() >> np.uint64(22)) % np.uint64(places) if len(left) else np.zeros(0, np.uint64)
+            keys = (left.keys() >> np.uint64(20)) % np.uint64(places) if len(left) else np.zeros(0, np.uint64)
             order = np.argsort(keys, kind="stable")
             bounds = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) > 0])) if len(left) else np.zeros(0, int)
             groups = np.split(order, bounds[1:]) if len(left) else []
@@ -323,39 +370,48 @@ def removed_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         runs = unpack([b for b in table.column("runs").to_pylist() if b is not None])
         found = pa.table(span_batch(runs, *later_copies(runs)))
         kept = table.filter(pc.is_valid(table.column("doc"))).select(["doc", "row", "begins", "ends"])
-        return pa.concat_tables([kept.cast(found.schema), found])
+        spans = pa.concat_tables([kept.cast(found.schema), found]).combine_chunks()
+        doc, row = (spans.column(n).to_numpy() for n in ("doc", "row"))
+        return pa.Table.from_batches([packed(spans, doc, row, places, True)])
 
-    rows = texts.select(F.col(doc_id).cast("long"), F.xxhash64(text), F.col(text).cast("binary")).mapInArrow(first_pass, schema)
-    return rows.groupBy("place").applyInArrow(second_pass, SPANS)
+    rows = texts.select(F.col(doc_id).cast("long"), "_row", F.col(text).cast("binary")).mapInArrow(first_pass, schema)
+    return rows.groupBy("place").applyInArrow(second_pass, PACKED)
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` and the remaining bytes' ``kept`` (binary) and ``kept_sha256``."""
     made = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "binary", "kept_sha256": "string"}
-    spans = removed_spans(docs, doc_id, text).groupBy("doc", "row").agg(
-        F.flatten(F.collect_list("begins")).alias("_begins"), F.flatten(F.collect_list("ends")).alias("_ends")
-    )
-    rows = docs.drop(*made).withColumn("_row", F.xxhash64(text))
-    spans = spans.withColumnRenamed("doc", "_doc").withColumnRenamed("row", "_hash")
-    rows = rows.join(spans, (F.col(doc_id) == F.col("_doc")) & (F.col("_row") == F.col("_hash")), "left").drop("_doc", "_hash", "_row")
-    kept = [f for f in rows.schema.fields if f.name not in ("_begins", "_ends")]
+    rows = told_apart(docs.drop(*made), doc_id, text)
+    places = place_count(rows, text)
+    spans = removed_spans(rows, places, doc_id, text)
+    kept = [f for f in rows.schema.fields if f.name != "_row"]
     schema = T.StructType(kept + [T.StructField(n, T._parse_datatype_string(t)) for n, t in made.items()])
 
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {n: [] for n in made}
-            contents = batch.column(text).cast(pa.binary())
-            for content, begins, ends in zip(contents, batch.column("_begins"), batch.column("_ends")):
+    def remove(group: pa.Table) -> pa.Table:
+        of: dict[tuple[int, int], list] = {}
+        is_span = group.column("spans").to_pylist()
+        blocks = group.column("rows").to_pylist()
+        for table in opened([b for b, s in zip(blocks, is_span) if s]):
+            lists = [x for c in ("begins", "ends") for x in [table.column(c).combine_chunks()]]
+            for i, key in enumerate(zip(table.column("doc").to_pylist(), table.column("row").to_pylist())):
+                of.setdefault(key, []).append([x[i].values.to_numpy() for x in lists])
+        tables = opened([b for b, s in zip(blocks, is_span) if not s])
+        out: dict[str, list] = {n: [] for n in made}
+        for table in tables:
+            keys = zip(table.column(doc_id).to_pylist(), table.column("_row").to_pylist())
+            for key, content in zip(keys, table.column(text).cast(pa.binary())):
                 content = content.as_py() or b""
-                begins, ends = ((x.values.to_numpy() if x.is_valid else np.zeros(0, np.int64)) for x in (begins, ends))
+                begins, ends = (np.concatenate([x[k] for x in of[key]]) if key in of else np.zeros(0, np.int64) for k in (0, 1))
                 begins, ends = merged(begins, ends)
                 edges = [0, *np.column_stack([begins, ends]).ravel().tolist(), len(content)]
                 rest = b"".join(content[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 row = (len(content), len(content) - len(rest), len(begins), rest, hashlib.sha256(rest).hexdigest())
                 for name, value in zip(made, row):
                     out[name].append(value)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
-            columns = [batch.column(f.name) for f in kept] + [pa.array(out[n], t) for n, t in zip(made, types)]
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+        columns = [pa.chunked_array([c for t in tables for c in t.column(f.name).chunks], arrow.field(f.name).type) for f in kept]
+        return pa.table(columns + [pa.array(out[n], t) for n, t in zip(made, types)], names=[f.name for f in schema.fields])
 
-    return rows.mapInArrow(remove, schema)
+    arrow = to_arrow_schema(T.StructType(kept))
+    dealt = deal_rows(rows, doc_id, "_row", places, False)
+    return dealt.unionByName(spans).groupBy("bucket").applyInArrow(remove, schema)

@@ -48,10 +48,11 @@ def corpus(seed: int, n: int, letters: str = "abcdé ") -> list[tuple[int, str]]
     return docs + [(1000 + i, docs[i % 5][1]) for i in range(10)]
 
 
-@pytest.mark.parametrize("seed, chunk, sorted_", [(1, 1 << 21, 1 << 20), (2, 300, 1 << 20), (3, 1000, 64), (4, 120, 10)])
+@pytest.mark.parametrize("seed, chunk, sorted_", [(1, 1 << 21, 1 << 20), (2, 300, 1 << 20), (3, 1000, 64), (4, 120, 10), (5, 1 << 22, 1 << 19)])
 def test_equals_brute_force(spark, monkeypatch, seed, chunk, sorted_):
     monkeypatch.setattr(S, "CHUNK", chunk)
     monkeypatch.setattr(S, "SORTED", sorted_)
+    monkeypatch.setattr(S, "BLOCK", 70 * seed)
     docs = corpus(seed, 40)
     random.Random(seed).shuffle(docs)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
