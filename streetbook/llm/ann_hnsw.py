@@ -1,13 +1,14 @@
 """Approximate nearest neighbours by inner product: one hierarchical navigable small-world graph for each shard.
 
-Vectors are dealt to shards by a hash of their content, about ``SHARD`` to each, so a shard's build and memory stay the same
-at any size. In a shard every vector draws its highest level; level by level and from the top, a beam search from the entry
+Vectors are dealt to shards by their length, of which each class spans a factor of ``SPAN``, and by a hash of their content,
+about ``SHARD`` to each, so a shard's build and memory stay the same at any size. In a shard every vector draws its highest level; level by level and from the top, a beam search from the entry
 point finds the candidates of a new vector, a diversity rule picks its links, and the links are set both ways with the
 weakest cut. New vectors come in batches that double: a batch searches the graph of those before it, and compares its own
 members directly. At the end, nodes without a way from the entry point get one. The graph is one row: vectors, and per level a flat array of neighbour numbers of fixed width.
 
 Inner products become distances by one more component, sqrt(M^2 - |x|^2) with M the shard's largest norm; a query has 0
-there. So the nearest by distance are those with the largest product, for vectors of any length.
+there. So the nearest by distance are those with the largest product, for vectors of any length. As M is close to all norms of
+its shard and points are scaled by the shard's largest component, single precision tells them apart whatever their length.
 
 Equal vectors are one node with their smallest ``top + 1`` identifiers: no more of them can be among a query's ``top``, so
 nothing is lost and a vector that fills a third of the table is one node. Queries are laid out in blocks, and each block
@@ -36,7 +37,9 @@ SHARD, BLOCK = 8192, 512
 #: Links of a node on upper levels (twice as many on the lowest), beams of building and searching.
 LINKS, BUILD_BEAM, SEARCH_BEAM = 16, 64, 128
 BATCH = 256
-INDEX = "dim int, shard int, n int, ids array<array<long>>, vectors binary, levels array<binary>, entry int, reach double"
+#: The norms of a shard differ at most by this factor; norms of about one are inside a class, not at its end.
+SPAN = 4
+INDEX = "dim int, shard int, n int, ids array<array<long>>, vectors binary, levels array<binary>, entry int"
 
 
 def usable(vector: Column) -> Column:
@@ -44,6 +47,20 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
+def norm_class(vector: Column) -> Column:
+    """The class of a vector's norm, from components over the largest, so that no square is too large or too small."""
+    largest = F.array_max(F.transform(vector, F.abs))
+    square = F.aggregate(vector, F.lit(0.0), lambda total, x: total + (x / largest) * (x / largest))
+    return F.floor((F.log(largest) + F.log(square) / 2) / float(np.log(SPAN)) + 0.5).cast("int")
+
+
+def lifted(vectors: np.ndarray) -> np.ndarray:
+    """Points of the vectors, scaled, with the further component that turns products into distances."""
+    scaled = vectors / np.abs(vectors).max()
+    squares = (scaled * scaled).sum(axis=1)
+    return np.column_stack([scaled, np.sqrt(squares.max() - squares)]).astype(np.float32)
+
+
 def once(pool: np.ndarray) -> np.ndarray:
     """The rows with -1 in place of what stands further left already."""
     order = np.argsort(pool, axis=1, kind="stable")
@@ -231,17 +248,18 @@ def build_index(rows: DataFrame, top: int, vec_id: str = "vec_id", vector: str =
     first = W.Window.partitionBy("v").orderBy("id")
     few = good.distinct().withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= top + 1)
     distinct = few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    distinct = stored(distinct.withColumn("dim", F.size("v")))
-    sizes = distinct.groupBy("dim").agg(F.ceil(F.count("*") / shard).alias("_shards"))
-    dealt = distinct.join(F.broadcast(sizes), "dim").withColumn("shard", F.pmod(F.xxhash64("v"), F.col("_shards")).cast("int"))
+    distinct = stored(distinct.withColumn("dim", F.size("v")).withColumn("_norm", norm_class(F.col("v"))))
+    sizes = distinct.groupBy("dim", "_norm").agg(F.ceil(F.count("*") / shard).alias("_shards"))
+    before = W.Window.partitionBy("dim").orderBy("_norm").rowsBetween(W.Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_shards").over(before), F.lit(0)))
+    number = F.col("_before") + F.pmod(F.xxhash64("v"), F.col("_shards"))
+    dealt = distinct.join(F.broadcast(sizes), ["dim", "_norm"]).withColumn("shard", number.cast("int"))
 
     def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ids", key=lambda c: c.map(lambda i: i[0]))
         vectors = np.stack(group["v"].to_numpy()).astype(np.float64)
-        squares = (vectors * vectors).sum(axis=1)
-        reach = float(squares.max())
-        graph = Graph(np.column_stack([vectors, np.sqrt(np.maximum(reach - squares, 0))]))
-        row = (int(key[0]), int(key[1]), len(group), list(group["ids"]), vectors.tobytes(), [t.tobytes() for t in graph.neighbours], graph.entry, reach)
+        graph = Graph(lifted(vectors))
+        row = (int(key[0]), int(key[1]), len(group), list(group["ids"]), vectors.tobytes(), [t.tobytes() for t in graph.neighbours], graph.entry)
         return pd.DataFrame([row], columns=[c.split()[0] for c in INDEX.split(", ")])
 
     return stored(dealt.select("dim", "shard", "ids", "v").groupBy("dim", "shard").applyInPandas(build, INDEX))
@@ -267,8 +285,7 @@ def search_index(
                 row = batch.slice(i, 1).to_pylist()[0]
                 vectors = np.frombuffer(row["vectors"], dtype=np.float64).reshape(row["n"], row["dim"])
                 graph = Graph.__new__(Graph)
-                extra = np.sqrt(np.maximum(row["reach"] - (vectors * vectors).sum(axis=1), 0))
-                graph.points = np.column_stack([vectors, extra]).astype(np.float32)
+                graph.points = lifted(vectors)
                 graph.norms = (graph.points * graph.points).sum(axis=1)
                 graph.neighbours = [np.frombuffer(t, dtype=np.int32).reshape(row["n"], -1) for t in row["levels"]]
                 graph.entry = row["entry"]
@@ -277,8 +294,9 @@ def search_index(
                 for begin in range(0, len(row["asked"]), 256):
                     some = row["asked"][begin : begin + 256]
                     q = np.array([s["v"] for s in some], dtype=np.float64)
-                    longest = np.maximum(np.sqrt((q * q).sum(axis=1, keepdims=True)), 1e-300)
-                    found = graph.nearest(np.column_stack([q / longest, np.zeros(len(q))]).astype(np.float32), max(beam, top + 1))
+                    unit = q / np.abs(q).max(axis=1, keepdims=True)
+                    unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+                    found = graph.nearest(np.column_stack([unit, np.zeros(len(q))]).astype(np.float32), max(beam, top + 1))
                     for s, vector, nodes in zip(some, q, found):
                         nodes = nodes[nodes >= 0]
                         scores = (vectors[nodes] * vector).sum(axis=1)

@@ -48,6 +48,22 @@ def test_recall_over_several_shards_and_lengths(spark):
         assert found == sorted(found, key=lambda f: (-f[1], f[0]))
 
 
+def test_single_long_vectors_hide_no_others(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(1200, 24))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors[7] *= 1e6
+    vectors[70] *= 1e20
+    vectors[700] *= 1e-30
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    asked = df.filter("vec_id % 10 = 0")
+    got = collected(A.search_index(A.build_index(df, 20), asked, 20))
+    want = brute(rows, set(range(0, 1200, 10)), 20)
+    assert {q: len(f) for q, f in got.items()} == {q: len(f) for q, f in want.items()}
+    assert recall(got, want) >= 0.95
+
+
 def test_copies_bad_vectors_and_ties(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 2.0]) for i in range(40, 0, -1)] + [(i, [1.0, 2.0]) for i in range(5)]  # repeated rows too
