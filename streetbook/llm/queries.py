@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streetbook.llm import ann_hnsw, byte_bpe, chat_format, exact_dedup, language_id, line_dedup, mixing, simhash_dedup, suffix_dedup, token_counts
+from streetbook.llm import ann_hnsw, byte_bpe, chat_format, exact_dedup, knn_join, language_id, line_dedup, mixing, prefix_trie, simhash_dedup
+from streetbook.llm import suffix_dedup, token_alignment, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -140,3 +141,55 @@ def op3(spark, folder):
 def op1(spark, folder):
     out = line_dedup.remove_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP11_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
+@register("op11_knn_join", OP11_SQL)
+def op11(spark, folder):
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return knn_join.nearest(rows, rows.filter("vec_id % 50 = 0"), top=5)
+
+
+@register("op12_token_alignment")
+def op12(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    path = public_tokenizers.path
+    out, _ = token_alignment.measure(docs, path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+    return out.select("doc_id", *token_alignment.COLUMNS)
+
+
+#: crc32 of a short text bit by bit, as the SQL engine has none.
+OP13_CRC = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST({} AS VARCHAR), ''), lambda c: ascii(c)::UBIGINT)),
+  lambda acc, b: list_reduce(list_prepend(xor(acc, b), list_transform(range(8), lambda i: 0::UBIGINT)),
+  lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)), 4294967295::UBIGINT)"""
+OP13_SQL = rf"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY place) AS own FROM t GROUP BY conv_id),
+h AS (SELECT o.*, CAST({OP13_CRC.format("o.conv_id")} % 6 AS INTEGER) AS h, b.own AS base FROM o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 100),
+c AS (SELECT conv_id, list_concat(coalesce(base[1:h], []), own[h + 1:]) AS turns FROM h),
+p AS (SELECT conv_id, d AS depth, turns[1:d] AS pre, d = len(turns) AS ends FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM c)),
+n AS (SELECT pre, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY pre, depth),
+k AS (SELECT pre[1:depth - 1] AS pre, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+w AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * length(n.pre[depth].t) ELSE 0 END AS saved FROM n LEFT JOIN k USING (pre)),
+s AS (SELECT pre[1:u] AS pre, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS u FROM w) GROUP BY 1)
+SELECT w.conv_id, w.depth, q.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved_tokens, w.ends_sha256
+FROM w JOIN s ON w.pre = s.pre LEFT JOIN n q ON w.depth > 0 AND q.pre = w.pre[1:w.depth - 1]
+"""
+
+
+@register("op13_prefix_trie", OP13_SQL)
+def op13(spark, folder):
+    turns = prefix_trie.numbered(table(spark, folder, "conversations").select("conv_id", "turn", "role", "text"))
+    return prefix_trie.trie(prefix_trie.with_shared_start(turns)).drop("node")
