@@ -95,7 +95,9 @@ def prefixes(turns: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
 
     rows = turns.select("conv_id", "place", "digest", "chars", "length")
-    rows = rows.repartition(tasks(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "place")
+    # by a hash of its own: Spark leaves out a repartition by a key that all parts of a union are dealt by already, and adaptive
+    # execution then merges the partitions of each part in its own way, which tears conversations apart
+    rows = rows.repartition(tasks(turns.sparkSession), F.xxhash64("conv_id")).sortWithinPartitions("conv_id", "place")
     return rows.mapInArrow(work, PREFIXES)
 
 
@@ -201,7 +203,7 @@ def end_lists(ends: DataFrame, span: int = SPAN) -> DataFrame:
     part = F.floor(F.col("conv_id") / span).alias("part")
     texts = F.transform(F.array_sort(F.collect_list("conv_id")), lambda c: c.cast("string"))
     pieces = ends.groupBy("node", part).agg(F.concat_ws(",", texts).alias("piece"))
-    pieces = pieces.repartition(tasks(ends.sparkSession), "node").sortWithinPartitions("node", "part")
+    pieces = pieces.repartition(tasks(ends.sparkSession), F.xxhash64("node")).sortWithinPartitions("node", "part")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, running = None, hashlib.sha256()

@@ -110,3 +110,13 @@ def test_query(spark):
     folder = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert collected(queries.QUERIES["op13_prefix_trie"](spark, folder)) == brute(rows)
+
+
+def test_conversations_of_a_union_stay_whole(spark, frame, capsys):
+    """Parts that are dealt by conversation already are dealt again, by an expression that no part is dealt by."""
+    rows = [(c, t, "user", f"{c % 7} {t}") for c in range(300) for t in range(8)]
+    turns = P.with_shared_start(P.numbered(frame(rows, SCHEMA)))
+    found = P.prefixes(turns.filter("place <= 3").unionByName(turns.filter("place > 3")))
+    found.explain()
+    assert "hashpartitioning(xxhash64(conv_id" in capsys.readouterr().out
+    assert found.filter("depth = 0").count() == 300
