@@ -59,6 +59,7 @@ def with_shared_start(turns: DataFrame, group: int = 100, most: int = 6) -> Data
     crc32(c) % most. One without turns has one row whose ``place`` is null. No identifier has more than 2 * group others in
     its group, so the join has no hot key.
     """
+    turns = stored(turns)  # read three times below, without the texts
     held = turns.groupBy("conv_id").agg(F.max("place").alias("own"))
     h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % most).alias("h")
     base = (F.col("conv_id") - F.col("conv_id") % group).alias("base")
