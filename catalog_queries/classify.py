@@ -210,6 +210,26 @@ def d06(fx):
     return out.select("id", "detected_slug")
 
 
+# A keyword table of some thousand rows over the part table: rules share keywords, and some keywords are part of others.
+KEYWORDS = """SELECT lower(replace(p_brand, '#', '-')) AS rule, p_size AS priority,
+                     concat(CASE WHEN p_partkey % 3 = 0 THEN 'Street ' ELSE 'eet ' END, CAST(p_partkey % 300 AS STRING)) AS keyword
+              FROM part"""
+PLACED = "SELECT id, concat(name, ' ', address) AS name, description FROM companies"
+
+
+@register(
+    "d06_detect_by_name_table",
+    f"""WITH src AS ({PLACED}), kw AS ({KEYWORDS}),
+             hit AS (SELECT s.id, k.rule, row_number() OVER (PARTITION BY s.id ORDER BY k.priority, k.rule) AS n
+                     FROM src s JOIN kw k ON contains(lower(s.name), lower(k.keyword)))
+        SELECT s.id, coalesce(h.rule, {_first_rule("s.description", C.CASCADE_DESCRIPTION)}) AS detected_slug
+        FROM src s LEFT JOIN hit h ON h.id = s.id AND h.n = 1""",
+)
+def d06_table(fx):
+    """The name stage on a keyword table that is joined, not written into the plan."""
+    return K.detect_category(fx.sql(PLACED), fx.sql(KEYWORDS)).select("id", "detected_slug")
+
+
 TITLE = """concat(name, CASE id % 7 WHEN 0 THEN ' Кухня мира' WHEN 1 THEN ' Тип Кухни' WHEN 2 THEN ' Музыка и Услуги'
         WHEN 3 THEN ' Способы оплаты' WHEN 4 THEN ' Услуги' ELSE '' END)"""
 

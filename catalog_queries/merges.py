@@ -145,6 +145,22 @@ def e02(fx):
     return done.snapshot.select("id", "name", "city_id", "address", "website", "phone", "rating", "source")
 
 
+@register(
+    "e02_rows_without_city",
+    f"""SELECT address, n, n AS ids FROM (SELECT address, COUNT(*) AS n FROM ({BY_NAME}) i
+                                         WHERE city_id IS NULL AND address LIKE '%!' GROUP BY address) q""",
+)
+def e02_loose(fx):
+    """Rows without a city match nothing: each is a company of its own."""
+    done = M.upsert_by_name(fx.companies.drop("hours_line"), fx.sql(f"SELECT * FROM ({BY_NAME}) i"), F.lit(DAY).cast("date"))
+    return _loose(done.snapshot)
+
+
+def _loose(snapshot):
+    new = snapshot.filter("city_id is null and address like '%!%'")
+    return new.groupBy("address").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+
+
 ABSENT = f"""SELECT * FROM ({BY_NAME}) a UNION ALL
              SELECT concat(name, ' twin'), city_id, address, website, rating, CAST(NULL AS STRING) FROM incoming
              UNION ALL SELECT concat(name, ' twin'), city_id, concat(address, ' b'), website, rating,
@@ -168,6 +184,16 @@ def e03(fx):
     return done.snapshot.select("id", "name", "city_id", "address", "source")
 
 
+@register(
+    "e03_rows_without_city",
+    f"""SELECT address, n, n AS ids FROM (SELECT address, COUNT(*) AS n FROM ({ABSENT}) i
+                                         WHERE city_id IS NULL AND address LIKE '%!%' GROUP BY address) q""",
+)
+def e03_loose(fx):
+    inc = fx.sql(f"SELECT * FROM ({ABSENT}) q")
+    return _loose(M.insert_absent(fx.companies.drop("hours_line"), inc, "yp.ru").snapshot)
+
+
 @register(
     "e04_new_candidates",
     """SELECT i.external_id, i.url, i.city_id FROM incoming i

@@ -196,9 +196,38 @@ def expand_category(df: DataFrame, table: Mapping[str, Sequence[str]], column: s
     return df.join(known, F.col(column) == F.col("_own")).drop("_own")
 
 
+#: Characters of a keyword by which it is looked up, and of a text that are cut into such runs at once.
+ANCHOR, PIECE = 3, 256
+
+
+def match_rules(df: DataFrame, rules: DataFrame, column: str = "name", out: str = "rule") -> DataFrame:
+    """Add ``out``: the first rule, by priority, one of whose keywords the lower-cased text contains.
+
+    ``rules(rule, keyword, priority)`` is a table of any size: each distinct text is cut into its runs of up to ``ANCHOR``
+    characters, these are joined with the beginnings of the keywords, and only keywords that begin somewhere in the text are
+    compared with it. Equal priorities go by rule. Blank keywords match nothing, null texts have no rule. Rows that share a text
+    are looked up once. Long texts are cut in pieces that overlap, so the work grows with their length.
+    """
+    words = rules.select(F.col("rule").alias("_rule"), F.lower("keyword").alias("_word"), F.col("priority").alias("_priority"))
+    words = words.filter("_word <> ''").withColumn("_anchor", F.substring("_word", 1, ANCHOR))
+    texts = df.select(F.lower(column).alias("_text")).filter("_text <> ''").distinct()
+
+    def runs(piece: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length(piece))
+        return F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(piece, i, F.lit(n)) for n in range(1, ANCHOR + 1)])))
+
+    places = F.sequence(F.lit(0), F.floor((F.length("_text") - 1) / PIECE))
+    pieces = F.transform(places, lambda k: F.substring("_text", (k * PIECE + 1).cast("int"), F.lit(PIECE + ANCHOR - 1)))
+    found = texts.select("_text", F.explode(F.array_distinct(F.flatten(F.transform(pieces, runs)))).alias("_anchor"))
+    found = found.join(words, "_anchor").filter(F.contains("_text", "_word"))
+    first = found.groupBy("_text").agg(F.min(F.struct("_priority", "_rule")).alias("_first"))
+    joined = df.join(first, F.lower(column) == F.col("_text"), "left")
+    return joined.withColumn(out, F.col("_first._rule")).drop("_text", "_first")
+
+
 def detect_category(
     df: DataFrame,
-    name_rules: Rules | None = None,
+    name_rules: Rules | DataFrame | None = None,
     description_rules: Rules = C.CASCADE_DESCRIPTION,
     source_map: Mapping[str, str] | None = None,
     group_rules: Rules = C.CASCADE_GROUP,
@@ -206,12 +235,16 @@ def detect_category(
 ) -> DataFrame:
     """Add ``detected_slug`` by the cascade name, description, source category, group titles, features.
 
-    The long word list of the name stage is an input (see ``load_rules``); the others default to the fixed tables.
-    Columns that the frame lacks skip their stage.
+    The long word list of the name stage is an input: a table ``rule, keyword, priority`` of any size (see ``match_rules``), or
+    a mapping, which becomes part of the plan. The others default to the fixed tables. Columns that the frame lacks skip
+    their stage.
     """
     source_map = C.CASCADE_SOURCE if source_map is None else source_map
     stages: list[Column] = []
-    if name_rules:
+    if isinstance(name_rules, DataFrame):
+        df = match_rules(df, name_rules, "name", "_named")
+        stages.append(F.col("_named"))
+    elif name_rules:
         stages.append(first_rule("name", name_rules))
     if "description" in df.columns:
         stages.append(first_rule("description", description_rules))
@@ -222,7 +255,7 @@ def detect_category(
         stages.append(first_rule(F.array_join(F.map_keys("feature_groups"), " "), group_rules))
     if "features" in df.columns:
         stages.append(first_rule(F.array_join("features", " "), feature_rules))
-    return df.withColumn("detected_slug", F.coalesce(*stages)).drop("_mapped")
+    return df.withColumn("detected_slug", F.coalesce(*stages)).drop("_mapped", "_named")
 
 
 def tag_group(title: Column | str, groups: Sequence[tuple[str, str]] = C.TAG_GROUPS) -> Column:

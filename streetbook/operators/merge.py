@@ -16,6 +16,7 @@ from streetbook.operators.common import (
     allocate_ids,
     best_per_key,
     column_or_null,
+    cut_lineage,
     join_known,
     key_copies,
     max_id,
@@ -31,6 +32,9 @@ UPSERT_FIELDS = (
 )
 NAME_UPSERT_FIELDS = ("address", "phone", "website", "description", "rating")
 
+#: Stores a frame that several others read.
+Settle = Callable[[DataFrame], DataFrame]
+
 
 @dataclass(frozen=True)
 class Upsert:
@@ -59,7 +63,7 @@ def upsert_companies(
     as_of: Column,
     mode: str = "overwrite",
     order: Column | None = None,
-    settle: Callable[[DataFrame], DataFrame] = lambda df: df,
+    settle: Settle = cut_lineage,
 ) -> Upsert:
     """Upsert by external id, then by URL.
 
@@ -69,8 +73,9 @@ def upsert_companies(
     by external id; a new row without one joins the new company that carries its URL, else its URL names it, and a row
     without both is a company of its own.
 
-    Two equi joins replace the one ``OR`` join, which would compare every pair of rows. Their result feeds the updates,
-    the inserts and the ids: large jobs pass ``settle=cut_lineage`` to store it once.
+    Two equi joins replace the one ``OR`` join, which would compare every pair of rows. Their result is stored once, and so
+    are the new companies with their ids: snapshot, matches, conflicts and outcomes all read these two. ``settle`` stores
+    them. The incoming rows are read once; of the companies, keys twice, ids once and whole rows once.
     """
     if mode not in ("overwrite", "fill_empty"):
         raise ValueError(mode)
@@ -99,7 +104,7 @@ def upsert_companies(
     keyed = best_per_key(fresh.filter("_key is not null"), ["_key"], F.col("_order"), newest=True)
     loose = key_copies(fresh.filter("_key is null").drop("_key")).select(*keyed.columns)
     rows = keyed.unionByName(loose).withColumn("_of", F.col("_key"))
-    created = allocate_ids(rows, max_id(cur), F.col("_key"))
+    created = settle(allocate_ids(rows, max_id(cur), F.col("_key")))
     matched = met.filter("_target is not null").select(*columns, F.col("_target").alias("id"))
     numbers = created.select(F.col("_of").alias("_key"), "id")
     matched = matched.unionByName(given.filter("_key is not null").join(numbers, "_key").select(*columns, "id"))
@@ -141,12 +146,16 @@ def upsert_by_name(
     as_of: Column,
     source: str = S.SUBDOMAIN_HOST,
     order: Column | None = None,
+    settle: Settle = cut_lineage,
 ) -> Upsert:
-    """Upsert by name and city: five fields of a known company are written, others are inserted with their source."""
+    """Upsert by name and city: five fields of a known company are written, others are inserted with their source.
+
+    Matches and new companies are stored once each (``settle``). Incoming rows without name or city match nothing.
+    """
     keys = ["name", "city_id"]
     inc = inc.withColumn("_order", _row_order(inc, order))
     known = cur.groupBy(*keys).agg(F.min("id").alias("_target"))
-    met = join_known(inc, known, keys)
+    met = settle(join_known(inc, known, keys))
     hits = best_per_key(met.filter("_target is not null"), ["_target"], F.col("_order"), newest=True)
     fresh = met.filter("_target is null").drop("_target")
     null_key = F.col("name").isNull() | F.col("city_id").isNull()
@@ -154,7 +163,7 @@ def upsert_by_name(
         "_key", F.concat(F.lit("k"), "city_id", F.lit("/"), "name")
     )
     loose = key_copies(fresh.filter(null_key))
-    created = allocate_ids(keyed.unionByName(loose), max_id(cur), F.col("_key"))
+    created = settle(allocate_ids(keyed.unionByName(loose), max_id(cur), F.col("_key")))
 
     fields = [f for f in NAME_UPSERT_FIELDS if f in cur.columns]
     types = dict(cur.dtypes)
@@ -184,17 +193,22 @@ def upsert_by_name(
     return Upsert(snapshot, assigned, hits.limit(0).select("name", "city_id"))
 
 
-def insert_absent(cur: DataFrame, inc: DataFrame, source: str, order: Column | None = None) -> Upsert:
-    """Insert companies whose name and city are not known; the first of equal incoming rows is taken."""
+def insert_absent(
+    cur: DataFrame, inc: DataFrame, source: str, order: Column | None = None, settle: Settle = cut_lineage
+) -> Upsert:
+    """Insert companies whose name and city are not known; the first of equal incoming rows is taken.
+
+    The unknown rows and the new companies are stored once each (``settle``).
+    """
     keys = ["name", "city_id"]
     inc = inc.withColumn("_order", _row_order(inc, order))
-    fresh = join_known(inc, cur.select(*keys).distinct(), keys, "left_anti")
+    fresh = settle(join_known(inc, cur.select(*keys).distinct(), keys, "left_anti"))
     null_key = F.col("name").isNull() | F.col("city_id").isNull()
     keyed = best_per_key(fresh.filter(~null_key), keys, F.col("_order")).withColumn(
         "_key", F.concat(F.lit("k"), "city_id", F.lit("/"), "name")
     )
     loose = key_copies(fresh.filter(null_key))
-    created = allocate_ids(keyed.unionByName(loose), max_id(cur), F.col("_key"))
+    created = settle(allocate_ids(keyed.unionByName(loose), max_id(cur), F.col("_key")))
     snapshot = union_aligned(cur, created.withColumn("source", F.lit(source)))
     assigned = created.select("name", "city_id", "id", F.lit("inserted").alias("action"))
     return Upsert(snapshot, assigned, created.limit(0).select("name", "city_id"))

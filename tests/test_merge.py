@@ -13,7 +13,7 @@ from streetbook.operators import classify as K
 from streetbook.operators import menus as U
 from streetbook.operators import merge as M
 from streetbook.operators import work as H
-from streetbook.operators.common import allocate_ids, max_id
+from streetbook.operators.common import allocate_ids, cut_lineage, max_id
 from streetbook.operators.report import ingest_rollup
 from streetbook.plans.moderation import moderate_existing, review
 from streetbook.sources.catalog import Catalog, load_catalog, save_catalog
@@ -259,3 +259,47 @@ def test_stale_needs_a_clock(spark):
     df = spark.createDataFrame([(1, datetime(2024, 1, 1)), (2, datetime(2024, 1, 9)), (3, None)], "id int, parsed_at timestamp")
     got = H.stale(df, F.lit(datetime(2024, 1, 10)), 7, 10)
     assert [r["id"] for r in got.collect()] == [1, 3]
+
+
+@pytest.mark.parametrize("merge", ["by_key", "by_name", "absent"])
+def test_merges_read_each_input_few_times(spark, current, tmp_path, merge):
+    """All plans of a merge together, those of the stored frames included, read no input more than four times."""
+    rows = [("a", "u9", "One!", 1, None, None, 1), (None, None, "Loose", None, None, 1, 2), ("n", "v", "New", 2, None, 1, 3)]
+    spark.createDataFrame(rows, INCOMING).write.parquet(f"{tmp_path}/inc")
+    current.write.parquet(f"{tmp_path}/cur")
+    cur, inc = spark.read.parquet(f"{tmp_path}/cur"), spark.read.parquet(f"{tmp_path}/inc")
+    plans = []
+
+    def settle(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut_lineage(df)
+
+    run = {
+        "by_key": lambda: M.upsert_companies(cur, inc, F.lit(AS_OF), order=F.col("seq"), settle=settle),
+        "by_name": lambda: M.upsert_by_name(cur, inc, F.lit(AS_OF), order=F.col("seq"), settle=settle),
+        "absent": lambda: M.insert_absent(cur, inc, "s", order=F.col("seq"), settle=settle),
+    }
+    done = run[merge]()
+    one = done.snapshot.select("id").unionByName(done.assigned.select("id"))
+    if done.matched is not None:
+        one = one.unionByName(done.matched.select("id"))
+    plans.append(one._jdf.queryExecution().optimizedPlan().toString())
+    relations = [line for plan in plans for line in plan.splitlines() if "Relation [" in line]
+    assert relations and len([r for r in relations if "parsed_at#" in r]) <= 4
+    assert len([r for r in relations if "seq#" in r]) == 1
+
+
+def test_rules_of_a_keyword_table(spark):
+    rules = spark.createDataFrame(
+        [("tools", "Rod", 2), ("art", "blue", 1), ("late", "d b", 9), ("one", "z", 5), ("two", "zz", 5), ("blank", "", 0), ("far", "needle", 1)],
+        "rule string, keyword string, priority int",
+    )
+    names = ["Rod", "BLUE rod", "red box", "izzy", "x", "", None, "hay " * 2000 + "needle", "y" * 255 + "needle"]
+    df = spark.createDataFrame(list(enumerate(names)), "id int, name string")
+    got = {r.id: r.rule for r in K.match_rules(df, rules).collect()}
+    assert got == {0: "tools", 1: "art", 2: "late", 3: "one", 4: None, 5: None, 6: None, 7: "far", 8: "far"}
+    assert K.match_rules(df, rules.limit(0)).filter("rule is not null").count() == 0
+    plain = {"art": ["blue"], "tools": ["rod"], "one": ["z"]}
+    table = spark.createDataFrame([(r, w, i) for i, (r, ws) in enumerate(plain.items()) for w in ws], "rule string, keyword string, priority int")
+    one, other = (sorted(map(str, K.detect_category(df, x).collect())) for x in (plain, table))
+    assert one == other
