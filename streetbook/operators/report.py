@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from streetbook.operators.common import small_table, spread_key
 from streetbook.sources.catalog import Catalog
 
 
@@ -136,50 +136,61 @@ REFERENCES = (
 )
 
 
-def _extra_rows(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """Rows beyond the first of each key; null keys are never equal."""
-    present = df.filter(" and ".join(f"{k} is not null" for k in keys))
-    groups = present.groupBy(*keys).agg((F.count("*") - 1).alias("_extra"))
-    return groups.agg(F.coalesce(F.sum("_extra"), F.lit(0)).cast("bigint").alias("violations")).select(
-        F.lit(name).alias("check"), "violations"
-    )
+def audit(cat: Catalog) -> DataFrame:
+    """Constraint audit: ``check, violations``. Covers unique keys, nulls, lengths, ratings and references.
 
+    Each table is read once. A row gives a pair of check and key for each of its unique keys, for each reference it holds and
+    for each that may point to it, and one for each condition on single rows that it breaks. All pairs share one
+    aggregate by check and key: a unique key is broken by its rows beyond the first, a reference by the rows of a key that no
+    parent has. Parents count once, and a hot key is one row per task before the shuffle. Null keys are never equal and
+    refer to nothing.
+    """
+    tables = cat.tables()
+    checks: list[str] = []
+    kinds: list[str] = []
+    pairs: dict[str, list[Column]] = {table: [] for table in tables}
 
-def _row_checks(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
-    """All conditions on single rows of a table in one scan."""
-    sums = [F.coalesce(F.sum(c.cast("int")), F.lit(0)).cast("bigint").alias(n) for n, c in checks.items()]
-    return df.agg(*sums).unpivot([], list(checks), "check", "violations")
+    def add(check: str, kind: str) -> int:
+        checks.append(check)
+        kinds.append(kind)
+        return len(checks) - 1
 
+    def pair(number: int, when: Column, key: Column, parent: bool = False) -> Column:
+        return F.when(when, F.struct(F.lit(number).alias("number"), key.alias("key"), F.lit(parent).alias("parent")))
+
+    def broken(table: str, check: str, when: Column) -> None:
+        pairs[table].append(pair(add(check, "row"), F.coalesce(when, F.lit(False)), F.lit(None).cast("string")))
 
-def audit(cat: Catalog) -> DataFrame:
-    """Constraint audit: ``check, violations``. Covers unique keys, nulls, lengths, ratings and references."""
-    tables = cat.tables()
-    frames: list[DataFrame] = []
     for table, keys in UNIQUE.items():
-        for key in keys:
-            if table in tables:
-                frames.append(_extra_rows(tables[table], key.split(","), f"unique {table}({key})"))
+        for key in keys if table in tables else ():
+            parts = [F.col(k) for k in key.split(",")]
+            known = reduce(Column.__and__, [p.isNotNull() for p in parts])
+            pairs[table].append(pair(add(f"unique {table}({key})", "unique"), known, spread_key(parts, F.lit(""))))
     for table, df in tables.items():
-        checks: dict[str, Column] = {}
         for name in NOT_NULL.get(table, ()):
             if name in df.columns:
-                checks[f"not null {table}({name})"] = F.col(name).isNull()
+                broken(table, f"not null {table}({name})", F.col(name).isNull())
         for name, size in MAX_LENGTH.get(table, {}).items():
             if name in df.columns:
-                checks[f"length {table}({name})"] = F.coalesce(F.length(name) > size, F.lit(False))
+                broken(table, f"length {table}({name})", F.length(name) > size)
         if table == "reviews":
-            checks["rating reviews"] = F.coalesce(~F.col("rating").between(1, 5), F.lit(False))
-        if checks:
-            frames.append(_row_checks(df, checks))
+            broken(table, "rating reviews", ~F.col("rating").between(1, 5))
     for table, key, parent in REFERENCES:
         if table in tables and parent in tables:
-            child = tables[table].select(key).filter(F.col(key).isNotNull())
-            known = tables[parent].select(F.col("id").alias(key))
-            lost = child.groupBy(key).agg(F.count("*").alias("_n")).join(known, key, "left_anti")
-            frames.append(
-                lost.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("violations")).select(
-                    F.lit(f"reference {table}({key})").alias("check"), "violations"
-                )
-            )
-    return reduce(DataFrame.unionByName, frames)
+            number = add(f"reference {table}({key})", "reference")
+            pairs[table].append(pair(number, F.col(key).isNotNull(), F.col(key).cast("string")))
+            pairs[parent].append(pair(number, F.col("id").isNotNull(), F.col("id").cast("string"), parent=True))
 
+    rows = [tables[t].select(F.inline(F.array_compact(F.array(*columns)))) for t, columns in pairs.items() if columns]
+    by_key = reduce(DataFrame.unionByName, rows).groupBy("number", "key").agg(
+        F.count_if(~F.col("parent")).alias("n"), F.max("parent").alias("has_parent")
+    )
+    names = small_table(next(iter(tables.values())).sparkSession, list(zip(range(len(checks)), checks, kinds)), "number int, check string, kind string")
+    extra = (
+        F.when(F.col("kind") == "unique", F.col("n") - 1)
+        .when(F.col("kind") == "reference", F.when(~F.col("has_parent"), F.col("n")).otherwise(0))
+        .otherwise(F.col("n"))
+    )
+    found = by_key.join(names, "number").groupBy("number").agg(F.sum(extra).alias("violations"))
+    counts = names.join(found, "number", "left")
+    return counts.select("check", F.coalesce("violations", F.lit(0)).cast("bigint").alias("violations"))

@@ -8,6 +8,8 @@ import __spark_entry__ as entry
 from streetbook.fixtures import Fixture
 from streetbook.operators.classify import review_moderated
 from streetbook.operators.browse import company_detail
+from streetbook.operators.report import audit
+from streetbook.sources.catalog import Catalog
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -28,3 +30,31 @@ def test_review_leaves_companies_in_place(spark):
     categories = spark.createDataFrame([(1, "cafe")], "id int, slug string")
     plan = review_moderated(companies, categories)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "hashpartitioning(_rule" not in plan
+
+
+def test_audit_reads_each_table_once(spark, tmp_path):
+    tables = {
+        "cities": ("id bigint, name string, slug string", [(1, "A", "a"), (2, None, "a"), (3, "C", None), (4, "D", None)]),
+        "categories": ("id bigint, name string, slug string", [(1, "x", "x")]),
+        "companies": (
+            "id bigint, external_id string, url string, name string, phone string, city_id bigint",
+            [(1, "e", "u", "n", "p", 1), (2, "e", "u", None, "p" * 51, 9), (3, "e", None, "n" * 501, None, None), (4, None, None, "n", None, 9)],
+        ),
+        "company_categories": ("company_id bigint, category_id bigint", [(1, 1), (1, 1), (1, 7), (8, 1), (None, 1), (None, 1)]),
+        "reviews": ("id bigint, company_id bigint, rating int", [(1, 1, 5), (2, 8, 6), (3, 8, 0), (4, None, None)]),
+    }
+    made = {}
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}")
+        made[name] = spark.read.parquet(f"{tmp_path}/{name}")
+    found = audit(Catalog(**made))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len([line for line in plan.splitlines() if "Relation [" in line]) == len(tables)
+    got = {r.check: r.violations for r in found.collect()}
+    assert {k: v for k, v in got.items() if v} == {
+        "unique cities(slug)": 1, "unique companies(external_id)": 2, "unique companies(url)": 1, "unique company_categories(company_id,category_id)": 1,
+        "not null cities(name)": 1, "not null cities(slug)": 2, "not null companies(name)": 1, "length companies(name)": 1, "length companies(phone)": 1,
+        "rating reviews": 2, "reference company_categories(company_id)": 1, "reference company_categories(category_id)": 1,
+        "reference reviews(company_id)": 2, "reference companies(city_id)": 2,
+    }
+    assert len(got) == 18
