@@ -20,9 +20,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one is made and set only where the session names none."""
+    """The folder of ``spark.checkpoint.dir``; only a local master gets one of its own where the session names none.
+
+    On a cluster each executor would write to its own disk there, so a missing folder is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="streetbook-llm-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
