@@ -114,31 +114,57 @@ def select_quality(
     cand: DataFrame,
     min_rating: float = S.MIN_RATING,
     min_reviews: int = S.MIN_REVIEWS,
+    span: int = 1024,
 ) -> DataFrame:
     """Apply quota and quality gate to ``cand(city_id, category, pos, quota, rating, review_count[, failed])``.
 
     Of each city and category the first ``2 * quota`` candidates in list order are looked at and the first ``quota``
     that pass are saved. Adds ``outcome``: ``saved``, ``skipped``, ``failed`` or ``not_reached``. A candidate without a
     city or category has no list to stand in and is ``failed``; so is one without a quota, for its city is not known.
+    A list has one quota, the largest of its rows. Candidates without a position come first.
+
+    Ranks have two levels: lists are cut into parts of ``span`` positions, an aggregate counts each part's candidates and
+    those that pass, and running sums over parts say how many come before. Parts beyond the quota are left out, and only rows
+    of one part are sorted together, however long a list and however large its quota.
     """
     group = ["city_id", "category"]
     homeless = F.col("city_id").isNull() | F.col("category").isNull() | F.col("quota").isNull()
     lost = cand.filter(homeless).withColumn("outcome", F.lit("failed"))
-    ranked = cand.filter(~homeless).withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy("pos")))
-    looked = ranked.filter(F.col("_rank") <= 2 * F.col("quota"))
     failed = F.coalesce("failed", F.lit(False)) if "failed" in cand.columns else F.lit(False)
     good = (F.coalesce("rating", F.lit(0)) >= min_rating) & (F.coalesce("review_count", F.lit(0)) >= min_reviews)
-    passed = looked.withColumn("_good", good & ~failed)
-    before = Window.partitionBy(*group).orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
-    saved_before = F.coalesce(F.sum(F.col("_good").cast("int")).over(before), F.lit(0))
-    counted = passed.withColumn("_saved", saved_before)
+    rows = cand.filter(~homeless).withColumn("_good", (good & ~failed).cast("int"))
+    rows = rows.withColumn("_part", F.coalesce(F.floor(F.col("pos") / span).cast("long"), F.lit(-(1 << 62))))
+
+    parts = rows.groupBy(*group, "_part").agg(
+        F.count("*").alias("_n"), F.sum("_good").alias("_passed"), F.max("quota").alias("_most")
+    )
+    listed = Window.partitionBy(*group)
+    before = listed.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(
+        *group,
+        "_part",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"),
+        F.coalesce(F.sum("_passed").over(before), F.lit(0)).alias("_passed"),
+        F.max("_most").over(listed).alias("_quota"),
+    )
+    parts = parts.filter(F.col("_skip") < 2 * F.col("_quota"))
+    here = Window.partitionBy(*group, "_part").orderBy("pos")
+    earlier = F.coalesce(F.sum("_good").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = rows.join(parts, [*group, "_part"]).select(
+        *cand.columns,
+        "_good",
+        "_quota",
+        (F.col("_skip") + F.row_number().over(here)).alias("_rank"),
+        (F.col("_passed") + earlier).alias("_saved"),
+    )
     outcome = (
-        F.when(F.col("_saved") >= F.col("quota"), "not_reached")
-        .when(F.col("_good"), "saved")
+        F.when(F.col("_saved") >= F.col("_quota"), "not_reached")
+        .when(F.col("_good") == 1, "saved")
         .when(failed, "failed")
         .otherwise("skipped")
     )
-    return counted.withColumn("outcome", outcome).drop("_rank", "_good", "_saved").unionByName(lost)
+    looked = ranked.filter(F.col("_rank") <= 2 * F.col("_quota"))
+    return looked.select(*cand.columns, outcome.alias("outcome")).unionByName(lost)
 
 
 def work_grid(

@@ -9,6 +9,7 @@ from streetbook.fixtures import Fixture
 from streetbook.operators.classify import review_moderated
 from streetbook.operators.browse import company_detail
 from streetbook.operators.report import audit
+from streetbook.operators.work import select_quality
 from streetbook.sources.catalog import Catalog
 
 FOLDER = "/root/testdata/sf0.001"
@@ -58,3 +59,33 @@ def test_audit_reads_each_table_once(spark, tmp_path):
         "reference reviews(company_id)": 2, "reference companies(city_id)": 2,
     }
     assert len(got) == 18
+
+
+def gate(rows):
+    """The quality gate, list by list."""
+    lists, out = {}, []
+    for row in rows:
+        if None in (row[0], row[1], row[3]):
+            out.append((*row, "failed"))
+        else:
+            lists.setdefault(row[:2], []).append(row)
+    for rows in lists.values():
+        saved, quota = 0, max(r[3] for r in rows)
+        for row in sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0))[: 2 * quota]:
+            good = (row[4] or 0) >= 4 and (row[5] or 0) >= 5 and not row[6]
+            what = "not_reached" if saved >= quota else "saved" if good else "failed" if row[6] else "skipped"
+            saved += good
+            out.append((*row, what))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("span", [1, 7, 1024])
+def test_long_lists_are_ranked_in_parts(spark, span):
+    schema = "city_id long, category string, pos long, quota int, rating double, review_count int, failed boolean"
+    rows = [(c, k, p, 3 * c, 3.0 + p % 7 / 4, p % 9, p % 11 == 0) for c in range(4) for k in "ab" for p in range(-5, 60 * c, 1 + c)]
+    rows += [(1, "a", None, 3, 5.0, 9, False), (None, "a", 1, 3, 5.0, 9, False), (1, None, 1, 3, 5.0, 9, False), (1, "a", 999, None, 5.0, 9, None)]
+    done = select_quality(spark.createDataFrame(rows, schema).repartition(3), span=span)
+    assert sorted((tuple(r) for r in done.collect()), key=str) == gate(rows)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    sorts = [line for line in plan.splitlines() if "Window [" in line and "row_number()" in line]
+    assert sorts and all("_part" in line.split("row_number()")[1] for line in sorts)
