@@ -165,6 +165,19 @@ def b11(fx):
     return X.menu_long(trees.select("id", X.menu_column(F.col("tree")).alias("menu")), "id")
 
 
+@register(
+    "b11_menu_rows_loose",
+    MENU.format(which="> 1", other="").replace("m.section, s.section_pos", "concat(m.section, 'n') AS section, s.section_pos").replace(
+        "m.price,", "concat(m.price, CASE WHEN m.pos % 2 = 0 THEN concat(' за ', CAST(m.pos * 50 AS STRING), ' г') ELSE '' END) AS price,"
+    ).replace("CASE WHEN m.pos % 2 = 0 THEN concat(CAST(m.pos * 50 AS STRING), ' г')  END AS portion", "'' AS portion"),
+)
+def b11_loose(fx):
+    """The refresh job's reading: the whole title, and price and portion as they stand."""
+    html = F.replace(F.replace("html", F.lit("price__list-left"), F.lit("price__list-name")), F.lit("price__list-right"), F.lit("price__list-price"))
+    trees = X.with_tree(P.detail_pages(fx.companies, menu=fx.menu_fresh).withColumn("html", html))
+    return X.menu_long(trees.select("id", X.smart_menu_column(F.col("tree")).alias("menu")), "id")
+
+
 @register(
     "b12_menu_json",
     MENU.format(which="<= 1", other="").replace("END AS portion", "ELSE '' END AS portion").replace(

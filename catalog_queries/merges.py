@@ -388,6 +388,35 @@ def e10(fx):
     return U.compare_menus(fx.menu_old, fx.menu_fresh)
 
 
+# Every third company lists the sections of its fresh menu the other way round.
+PLACED_OLD = "SELECT *, CAST(dense_rank() OVER (PARTITION BY company_id ORDER BY section) AS BIGINT) AS section_pos FROM menu_old"
+PLACED_FRESH = """SELECT *, CAST(CASE WHEN company_id % 3 = 0 THEN dense_rank() OVER (PARTITION BY company_id ORDER BY section DESC)
+                                      ELSE dense_rank() OVER (PARTITION BY company_id ORDER BY section) END AS BIGINT) AS section_pos
+                  FROM menu_fresh"""
+TURNED = MENU_SIDES.replace(
+    "string_agg(DISTINCT section, '|' ORDER BY section) AS cats", "string_agg(DISTINCT section, '|' ORDER BY section) AS up"
+)
+TURNED = TURNED.replace("o AS (SELECT company_id, COUNT(*) AS n,", "o AS (SELECT *, up AS cats FROM (SELECT company_id, COUNT(*) AS n,")
+TURNED = TURNED.replace("FROM menu_old GROUP BY company_id)", "FROM menu_old GROUP BY company_id) q)")
+TURNED = TURNED.replace(
+    "f AS (SELECT company_id, COUNT(*) AS n,",
+    """f AS (SELECT *, CASE WHEN company_id % 3 = 0 THEN down ELSE up END AS cats FROM (SELECT company_id, COUNT(*) AS n,
+          string_agg(DISTINCT section, '|' ORDER BY section DESC) AS down,""",
+)
+TURNED = TURNED.replace("FROM menu_fresh GROUP BY company_id)", "FROM menu_fresh GROUP BY company_id) q)")
+
+
+@register(
+    "e10_section_order",
+    f"""WITH {TURNED}
+        SELECT company_id, current_count, fresh_count, reason <> 'current_has_equal_or_more' AS should_update, reason
+        FROM compared""",
+)
+def e10_order(fx):
+    """Menus with the same sections in another order differ."""
+    return U.compare_menus(fx.sql(PLACED_OLD), fx.sql(PLACED_FRESH))
+
+
 @register(
     "e10_menu_diff",
     """WITH o AS (SELECT company_id, section, COUNT(*) AS n FROM menu_old GROUP BY company_id, section),
