@@ -6,7 +6,7 @@ form a linked list, a heap holds the adjacent pairs that are tokens by rank and
 none is left. Long pre-tokens take n log n steps.
 
 Results are kept per worker, for pieces between a letter and a single space, where the pattern always cuts; that memory is
-bounded by twice ``MEMO`` pieces of up to ``MEMO_CHARS`` characters and changes no result. The vocabulary is a file of fixed size
+bounded by twice ``MEMO`` pieces and ``MEMO`` pre-tokens of up to ``MEMO_CHARS`` characters and changes no result. The vocabulary is a file of fixed size
 (some 50,000 tokens) that the driver reads and hands to the tasks.
 
 Null texts are empty: no ids, no bytes. Lone surrogates cannot occur in Spark strings. Further columns are carried along,
@@ -110,11 +110,20 @@ class Codec:
 
     def __init__(self, tokens: list[bytes], pattern: str, whole: PerfectHash):
         self.tokens, self.find, self.hash = tokens, regex.compile(pattern).findall, whole
-        self.ranks = {token: rank for rank, token in enumerate(tokens)}
+        ranks = {token: rank for rank, token in enumerate(tokens)}
         self.odd_space = regex.compile(r" \s|\s ").search
-        self.byte_ids = [self.ranks[bytes([i])] for i in range(256)]
+        self.byte_ids = [ranks[bytes([i])] for i in range(256)]
+        #: Rank of two bytes, and of two tokens by their ids, where they make a token.
+        self.first = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
+        self.pairs = {
+            ranks[token[:cut]] << 32 | ranks[token[cut:]]: rank
+            for rank, token in enumerate(tokens)
+            for cut in range(1, len(token))
+            if token[:cut] in ranks and token[cut:] in ranks
+        }
         self.memo: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
 
     def whole(self, piece: bytes) -> int:
         """The id of ``piece`` as one token, or -1."""
@@ -123,34 +132,52 @@ class Codec:
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids after all merges, lowest rank first and leftmost among equals."""
-        n, rank_of, byte_ids = len(piece), self.ranks.get, self.byte_ids
+        n, first, rank_of, byte_ids = len(piece), self.first, self.pairs.get, self.byte_ids
         ids = [byte_ids[b] for b in piece]
-        ends, before = list(range(1, n + 1)), list(range(-1, n - 1))  # a part ends where the next begins
-        heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := rank_of(piece[i : i + 2])) is not None]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        joins = [first[a << 8 | b] for a, b in zip(piece, piece[1:])] + [-1]  # the rank of each part with the next
+        bits = n.bit_length()
+        place = (1 << bits) - 1
+        heap = [rank << bits | i for i, rank in enumerate(joins) if rank >= 0]
         heapq.heapify(heap)
         while heap:
-            rank, i, end = heapq.heappop(heap)
-            if ids[i] < 0 or (j := ends[i]) >= n or ends[j] != end:
+            top = heapq.heappop(heap)
+            i, rank = top & place, top >> bits
+            if joins[i] != rank:
                 continue  # one of the two has been joined otherwise meanwhile
-            ids[i], ids[j], ends[i] = rank, -1, end
-            if end < n:
-                before[end] = i
-                if (rank := rank_of(piece[i : ends[end]])) is not None:
-                    heapq.heappush(heap, (rank, i, ends[end]))
-            if (k := before[i]) >= 0 and (rank := rank_of(piece[k:end])) is not None:
-                heapq.heappush(heap, (rank, k, end))
+            j = after[i]
+            k = after[i] = after[j]
+            ids[i], ids[j], joins[i], joins[j] = rank, -1, -1, -1
+            if k < n:
+                before[k] = i
+                if (more := rank_of(rank << 32 | ids[k], -1)) >= 0:
+                    joins[i] = more
+                    heapq.heappush(heap, more << bits | i)
+            if (k := before[i]) >= 0:
+                joins[k] = more = rank_of(ids[k] << 32 | rank, -1)
+                if more >= 0:
+                    heapq.heappush(heap, more << bits | k)
         return [x for x in ids if x >= 0]
 
-    def pretoken(self, piece: str) -> list[int]:
-        raw = piece.encode()
-        token = self.whole(raw)
-        return [token] if token >= 0 else self.merged(raw)
+    def pretoken(self, piece: str) -> tuple[int, ...]:
+        """The ids of a pre-token; those of merged ones are kept, as other pieces hold them too ("word," and "word.")."""
+        ids = self.parts.get(piece)
+        if ids is None:
+            raw = piece.encode()
+            token = self.whole(raw)
+            ids = (token,) if token >= 0 else tuple(self.merged(raw))
+            if len(piece) <= MEMO_CHARS:
+                if len(self.parts) >= MEMO:
+                    self.parts = {}
+                self.parts[piece] = ids
+        return ids
 
     def piece(self, piece: str) -> tuple[int, ...]:
         """The ids of a piece that is not in ``memo``; when that is full it becomes ``older``, which is then forgotten."""
         ids = self.older.get(piece)
         if ids is None:
-            ids = tuple(chain.from_iterable(map(self.pretoken, self.find(piece))))
+            found = self.find(piece)
+            ids = self.pretoken(piece) if len(found) == 1 else tuple(chain.from_iterable(map(self.pretoken, found)))
         if len(piece) <= MEMO_CHARS:
             if len(self.memo) >= MEMO:
                 self.memo, self.older = {}, self.memo
