@@ -6,7 +6,7 @@ form a linked list, a heap holds the adjacent pairs that are tokens by rank and
 none is left. Long pre-tokens take n log n steps.
 
 Results are kept per worker, for pieces between a letter and a single space, where the pattern always cuts; that memory is
-bounded by twice ``MEMO`` pieces and ``MEMO`` pre-tokens of up to ``MEMO_CHARS`` characters and changes no result. The vocabulary is a file of fixed size
+bounded by twice ``MEMO`` pieces and as many pre-tokens of up to ``MEMO_CHARS`` characters and changes no result. The vocabulary is a file of fixed size
 (some 50,000 tokens) that the driver reads and hands to the tasks.
 
 Null texts are empty: no ids, no bytes. Lone surrogates cannot occur in Spark strings. Further columns are carried along,
@@ -124,6 +124,7 @@ class Codec:
         self.memo: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
+        self.older_parts: dict[str, tuple[int, ...]] = {}
 
     def whole(self, piece: bytes) -> int:
         """The id of ``piece`` as one token, or -1."""
@@ -163,12 +164,14 @@ class Codec:
         """The ids of a pre-token; those of merged ones are kept, as other pieces hold them too ("word," and "word.")."""
         ids = self.parts.get(piece)
         if ids is None:
-            raw = piece.encode()
-            token = self.whole(raw)
-            ids = (token,) if token >= 0 else tuple(self.merged(raw))
+            ids = self.older_parts.get(piece)
+            if ids is None:
+                raw = piece.encode()
+                token = self.whole(raw)
+                ids = (token,) if token >= 0 else tuple(self.merged(raw))
             if len(piece) <= MEMO_CHARS:
                 if len(self.parts) >= MEMO:
-                    self.parts = {}
+                    self.parts, self.older_parts = {}, self.parts
                 self.parts[piece] = ids
         return ids
 
