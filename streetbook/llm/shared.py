@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,35 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sets_aside(*names: str) -> Callable:
+    """For an operator whose first argument is a table and that uses ``names`` for columns of its own.
+
+    Columns of the table with such a name are renamed meanwhile, and stand in the result as they were.
+    """
+
+    def wrap(operator: Callable) -> Callable:
+        @functools.wraps(operator)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            taken, aside = {c.lower() for c in docs.columns} | set(names), {}
+            for name in docs.columns:
+                if name.lower() in names:
+                    aside[name] = f"{name}_"
+                    while aside[name].lower() in taken:
+                        aside[name] += "_"
+                    taken.add(aside[name].lower())
+            if not aside:
+                return operator(docs, *args, **kwargs)
+            args = [aside.get(a, a) if isinstance(a, str) else a for a in args]
+            kwargs = {k: aside.get(a, a) if isinstance(a, str) else a for k, a in kwargs.items()}
+            out = operator(docs.withColumnsRenamed(aside), *args, **kwargs)
+            back = {new: old for old, new in aside.items() if new in out.columns}
+            return out.drop(*back.values()).withColumnsRenamed(back)
+
+        return run
+
+    return wrap
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower case for A-Z alone. Spark's ``lower`` does just that where a text has no other character than ASCII."""
     plain = F.octet_length(text) == F.char_length(text)

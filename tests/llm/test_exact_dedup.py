@@ -56,3 +56,18 @@ def test_empty_table(frame):
 def test_query_runs_no_python(spark):
     plan = queries.QUERIES["op6_exact_dedup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_runs_are_sorted_and_merged_with_verification(frame):
+    rows = [(i, bytes([i % 5]), i % 2, i % 3) for i in range(300)] + [(None, b"a", 1, 1), (7, b"b", 1, 1), (None, b"b", 1, 1)]
+    keyed = frame(rows, "_id long, sha binary, n int, x long", 5)
+    keyed = keyed.select(E.F.struct("sha", "n", "x").alias("_key"), "_id")
+    for runs, fan_in in ((1, 8), (8, 2), (60, 3)):
+        merged = E.merge_runs(keyed, runs, fan_in)
+        got = {(bytes(r._key.sha), r._key.n, r._key.x): (r.first_id, r.last_id, r.group_size) for r in merged.collect()}
+        assert len(got) == merged.count() == 32  # equal digests of another length or second hash stay apart
+        assert got[b"a", 1, 1] == (None, None, 1) and got[b"b", 1, 1] == (7, 7, 2)
+        assert got[b"\0", 0, 0] == (0, 270, 10)
+    plan = E.merge_runs(keyed, 64, 8)._jdf.queryExecution().executedPlan().toString()
+    # one exchange for the first runs, one for each round, which merges its sorted rows where they are
+    assert plan.count("Exchange hashpartitioning") == 3 and plan.count("Window [") == 2
