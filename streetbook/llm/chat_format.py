@@ -15,7 +15,7 @@ Every turn is flattened and escaped by itself, before any shuffle. Turns are the
 one pass over each task's rows: a task holds one turn and a running digest for ``digests``, or one conversation for ``assemble``.
 
 Rows go by turn, null turns first; equal turns by role and content. A null role is empty, null parts are left out, a null
-list or text is empty, an unknown kind of part is an error that names it. A null conversation is one of its own. Empty tables
+list or text is empty, an unknown size counts as one token, an unknown kind of part is an error that names it. A null conversation is one of its own. Empty tables
 give empty results; further columns are ignored.
 """
 
@@ -40,6 +40,8 @@ PLACEHOLDERS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|docum
 #: Strings that may not stand in a text as they are: those of this template and of other common ones.
 CONTROL = (START, END, *PLACEHOLDERS.values(), "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 ASSISTANT = "assistant"
+#: Tokens that one attachment takes at most, whatever its size says.
+MOST = 2**40
 ATTACHED = "attachments array<struct<kind:string,ref:string,start:long,tokens:long>>"
 PARTS = "array<struct<type:string,text:string,ref:string,size:array<double>>>"
 
@@ -57,9 +59,22 @@ def unescape(text: str) -> str:
     return _unescape(lambda m: m[0][0], text)
 
 
+def known(size: list[float | None] | None, parts: int) -> bool:
+    """Whether the first ``parts`` numbers of a size are there, finite and above zero."""
+    return bool(size) and len(size) >= parts and all(x is not None and math.isfinite(x) and x > 0 for x in size[:parts])
+
+
+def tokens_of(count: int) -> int:
+    """A token count between 1 and ``MOST``, so that the sum over a conversation stays a long."""
+    return max(1, min(count, MOST))
+
+
 @dataclass
 class Sizes:
-    """How many tokens an attachment takes: by patches, by time and by pages."""
+    """How many tokens an attachment takes: by patches, by time and by pages.
+
+    A size that is missing, null, not finite or not above zero is unknown: the attachment takes one token.
+    """
 
     patch: float = 14.0
     audio_per_second: float = 25.0
@@ -67,16 +82,17 @@ class Sizes:
 
     def image(self, size: list[float]) -> int:
         """``size``: width and height in pixels."""
-        width, height = (list(size) + [0.0, 0.0])[:2]
-        return max(1, math.ceil(width / self.patch) * math.ceil(height / self.patch))
+        if not known(size, 2):
+            return 1
+        return tokens_of(math.ceil(size[0] / self.patch) * math.ceil(size[1] / self.patch))
 
     def audio(self, size: list[float]) -> int:
         """``size``: seconds."""
-        return max(1, math.ceil((size or [0.0])[0] * self.audio_per_second))
+        return tokens_of(math.ceil(min(size[0] * self.audio_per_second, MOST))) if known(size, 1) else 1
 
     def document(self, size: list[float]) -> int:
         """``size``: pages."""
-        return max(1, math.ceil((size or [0.0])[0] * self.document_per_page))
+        return tokens_of(math.ceil(min(size[0] * self.document_per_page, MOST))) if known(size, 1) else 1
 
 
 @dataclass

@@ -67,3 +67,17 @@ def test_unknown_part_empty_table_and_repeats(frame):
     bad = frame([(1, 0, "user", [("video", None, "v", None)], "")], SCHEMA)
     with pytest.raises(Exception, match="unknown content part"):
         C.format_turns(bad).collect()
+
+
+@pytest.mark.parametrize("size", [None, [], [None], [None, 3.0], [float("nan"), 28.0], [float("inf"), 28.0], [-5.0, -5.0], [0.0, 0.0]])
+@pytest.mark.parametrize("kind", ["image", "audio", "document"])
+def test_unknown_sizes_take_one_token(kind, size):
+    assert C.PartVisitor(C.Sizes()).flatten([{"type": kind, "ref": "x", "size": size}]).attachments[0]["tokens"] == 1
+
+
+def test_hard_sizes_in_a_job(frame):
+    sizes = [[None, 1.0], [float("nan"), 1.0], [float("inf"), 1.0], [1e308, 1e308], [28.0, 15.0]]
+    some = 4 + 28 * 25 + 28 * 256
+    rows = [(1, k, "user", [(kind, None, None, size) for kind in ("image", "audio", "document")], "") for k, size in enumerate(sizes)]
+    got = C.digests(C.format_turns(frame(rows, SCHEMA))).collect()[0]
+    assert got.n_attachments == 15 and got.attachment_tokens == 3 * 3 + 3 * C.MOST + some
