@@ -20,7 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from streetbook.llm.shared import WORD
+from streetbook.llm.shared import WORD, sets_aside
+
+#: Columns that ``mix`` makes for itself; ``_start`` and ``_class`` stay, for ``position``.
+OWN = ("_order", "_bucket", "_b", "_source", "_size", "_ahead", "_start", "_class", "_full", "_rest")
 
 Knots = Sequence[tuple[float, float]]
 #: Weight over time of the first, second and third source, repeating: the integrals are 5, 2 and 1.
@@ -72,6 +75,7 @@ def source_targets(sizes: DataFrame, schedules: Sequence[Knots] = SCHEDULES, max
     return filled.select("source", "source_size", "_class", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
+@sets_aside(*OWN)
 def mix(
     docs: DataFrame,
     schedules: Sequence[Knots] = SCHEDULES,
@@ -126,6 +130,7 @@ def position(copy: Column, schedules: Sequence[Knots] = SCHEDULES) -> Column:
     return out
 
 
+@sets_aside(*OWN, "copy")
 def curriculum(docs: DataFrame, schedules: Sequence[Knots] = SCHEDULES, max_repeats: int = 3, doc_id: str = "doc_id", **mixing) -> DataFrame:
     """One row for each copy of a document that the mix takes (``copy`` from 0), sorted by training ``position``."""
     rows = mix(docs, schedules, max_repeats, doc_id=doc_id, **mixing).filter("copies > 0")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from streetbook.llm.shared import Forest, components, join_counted, stored, tasks, whole_keys
+from streetbook.llm.shared import Forest, components, join_counted, sets_aside, stored, tasks, whole_keys
 
 SEED = 42
 BITS = 64
@@ -146,7 +146,10 @@ def linked(distinct: DataFrame, max_bits: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with ``fingerprint`` (16 hex digits) and ``component_id``, the smallest identifier of the linked group."""
+    """The identifiers of ``docs``, each with ``fingerprint`` (16 hex digits) and ``component_id``, the smallest of its linked group.
+
+    Other columns are not carried along.
+    """
     marked = fingerprints(docs.select(doc_id, text), shingle, text).select(doc_id, "_fp")
     marked = stored(marked)
     distinct = stored(marked.groupBy("_fp").agg(F.min(doc_id).alias("_low"), F.count("*").alias("_n")))
@@ -159,6 +162,7 @@ def near_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2, text: str
     return out.withColumn("fingerprint", F.lower(F.lpad(F.hex("_fp"), 16, "0"))).drop("_fp")
 
 
+@sets_aside("_later")
 def keep_first(docs: DataFrame, shingle: int = 3, max_bits: int = 2, doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose identifier is the smallest of its group. Rows without an identifier stay."""
     found = near_groups(docs, shingle, max_bits, doc_id=doc_id)

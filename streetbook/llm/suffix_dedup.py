@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from streetbook.llm.shared import ODD, PACKED, deal_rows, mixed, opened, packed, tasks
+from streetbook.llm.shared import ODD, PACKED, deal_rows, mixed, opened, packed, sets_aside, tasks
 
 WINDOW, GRAM = 50, 12
 #: A window holds this many bytes before its anchor or after it, or more.
@@ -378,6 +378,7 @@ def removed_spans(docs: DataFrame, places: int, doc_id: str = "doc_id", text: st
     return rows.groupBy("place").applyInArrow(second_pass, PACKED)
 
 
+@sets_aside("_row", "_twice")
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` and the remaining bytes' ``kept`` (binary) and ``kept_sha256``."""
     made = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "binary", "kept_sha256": "string"}
