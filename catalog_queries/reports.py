@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from catalog_queries import register
 from catalog_queries.merges import DIRTY, MENU_SIDES
 from streetbook.operators import menus as U
@@ -23,41 +25,46 @@ def g02(fx):
     return R.by_source(fx.catalog("companies"))
 
 
-THIN = "SELECT * FROM companies WHERE city_id IS NULL OR city_id % 5 <> 0"
+EMPTY = "(SELECT id, name, slug FROM {0} UNION ALL SELECT -id, concat(name, ' empty'), concat(slug, '-empty') FROM {0})"
+
+
+def with_empty(rows):
+    """``rows`` and as many that nothing belongs to."""
+    return rows.unionByName(
+        rows.withColumns({"id": -F.col("id"), "name": F.concat("name", F.lit(" empty")), "slug": F.concat("slug", F.lit("-empty"))})
+    )
 
 
 @register(
     "g03_top_cities",
-    f"""SELECT c.id, c.name, COUNT(comp.id) AS companies FROM cities c LEFT JOIN ({THIN}) comp ON comp.city_id = c.id
+    f"""SELECT c.id, c.name, COUNT(comp.id) AS companies FROM {EMPTY.format("cities")} c LEFT JOIN companies comp ON comp.city_id = c.id
         GROUP BY c.id, c.name ORDER BY companies DESC, c.name, c.id LIMIT 23""",
 )
 def g03(fx):
-    cat = fx.catalog("cities", companies=fx.companies.filter("city_id is null or city_id % 5 <> 0"))
-    return R.top_cities(cat, 23)
+    return R.top_cities(fx.catalog("companies", cities=with_empty(fx.cities)), 23)
 
 
 @register(
     "g04_by_category",
-    """SELECT cat.id, cat.name, COUNT(cc.company_id) AS count FROM categories cat
-       LEFT JOIN (SELECT * FROM company_categories WHERE category_id % 4 <> 0) cc ON cc.category_id = cat.id
+    f"""SELECT cat.id, cat.name, COUNT(cc.company_id) AS count FROM {EMPTY.format("categories")} cat
+       LEFT JOIN company_categories cc ON cc.category_id = cat.id
        GROUP BY cat.id, cat.name""",
 )
 def g04(fx):
-    links = fx.company_categories.filter("category_id % 4 <> 0")
-    return R.by_category(fx.catalog("categories", company_categories=links))
+    return R.by_category(fx.catalog("company_categories", categories=with_empty(fx.categories)))
 
 
 @register(
     "g05_city_stats",
     f"""SELECT city.id AS city_id, city.name, COUNT(DISTINCT c.id) AS total_companies,
                COUNT(DISTINCT CASE WHEN cat.slug = 'brand-7' THEN c.id END) AS in_category
-        FROM cities city LEFT JOIN ({THIN}) c ON c.city_id = city.id
+        FROM {EMPTY.format("cities")} city LEFT JOIN companies c ON c.city_id = city.id
              LEFT JOIN company_categories cc ON cc.company_id = c.id LEFT JOIN categories cat ON cat.id = cc.category_id
         GROUP BY city.id, city.name""",
 )
 def g05(fx):
-    companies = fx.companies.filter("city_id is null or city_id % 5 <> 0")
-    return R.city_stats(fx.catalog("cities", "categories", "company_categories", companies=companies), "brand-7")
+    cat = fx.catalog("companies", "categories", "company_categories", cities=with_empty(fx.cities))
+    return R.city_stats(cat, "brand-7")
 
 
 @register("g06_progress_status", "SELECT status, COUNT(*) AS count FROM progress GROUP BY status")
