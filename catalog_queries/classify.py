@@ -245,10 +245,10 @@ def d07(fx):
     return fx.sql(f"SELECT id, {TITLE} AS t FROM companies").select("id", K.tag_group("t").alias("tag_group"))
 
 
-# Features of a company: the names of the parts of its first order lines, some of them new to the tag table.
+# Features of a company: the names of its menu, some of them new to the tag table. Companies without a menu keep their tags.
 FEATURES = """SELECT DISTINCT company_id, section AS title,
                      CASE WHEN pos % 3 = 0 THEN concat('New ', name) ELSE name END AS name
-              FROM menu_old WHERE company_id % 4 = 0"""
+              FROM menu_fresh"""
 
 
 @register(
@@ -280,7 +280,7 @@ def d08_tags(fx):
     return K.build_tags(fx.sql(FEATURES), fx.tags, fx.company_tags)[0].select("id", "slug")
 
 
-NEW_SLUGS = "SELECT id AS company_id, CASE WHEN id % 5 = 0 THEN 'none' ELSE 'brand-9' END AS slug FROM companies WHERE id % 3 = 0"
+NEW_SLUGS = "SELECT id AS company_id, CASE WHEN id % 3 > 0 OR id % 5 = 0 THEN 'none' ELSE 'brand-9' END AS slug FROM companies"
 
 
 @register(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog_queries import register
 from catalog_queries import site_pages as P
+from catalog_queries.merges import MENU_SIDES
 from streetbook.functions import contacts as N
 from streetbook.operators import extract as X
 
@@ -180,11 +181,12 @@ def b11_loose(fx):
 
 @register(
     "b12_menu_json",
-    MENU.format(which="<= 1", other="").replace("END AS portion", "ELSE '' END AS portion").replace(
-        "' г')", "' г')").replace("concat(CAST(m.pos * 50 AS STRING), ' г')", "concat('за ', CAST(m.pos * 50 AS STRING), ' г')"),
+    MENU.format(which="> 1", other="") + " UNION ALL " + MENU.format(which="<= 1", other="ELSE ''").replace(
+        "concat(CAST(m.pos * 50 AS STRING), ' г')", "concat('за ', CAST(m.pos * 50 AS STRING), ' г')"),
 )
 def b12(fx):
-    trees = _trees(fx, menu=fx.menu_fresh).filter("id % 6 <= 1")
+    """The visible menu of most pages, the embedded one of the others."""
+    trees = _trees(fx, menu=fx.menu_fresh)
     return X.menu_long(trees.select("id", X.full_menu(F.col("tree"), F.col("html")).alias("menu")), "id")
 
 
@@ -251,12 +253,10 @@ def b00(fx):
 
 @register(
     "flow_menu_refresh",
-    """WITH o AS (SELECT company_id, COUNT(*) AS n FROM menu_old GROUP BY company_id),
-            f AS (SELECT company_id, COUNT(*) AS n FROM menu_fresh GROUP BY company_id)
-       SELECT o.company_id AS id, CASE WHEN o.company_id % 10 = 9 THEN 'fetch_failed' WHEN f.n IS NULL THEN 'no_menu_on_page'
-                                       WHEN f.n > o.n THEN concat('more_items (+', CAST(f.n - o.n AS STRING), ')') END AS reason
-       FROM o JOIN companies c ON c.id = o.company_id LEFT JOIN f ON f.company_id = o.company_id
-       WHERE o.company_id % 10 = 9 OR f.n IS NULL OR f.n > o.n""",
+    f"""WITH {MENU_SIDES}
+        SELECT company_id AS id, CASE WHEN company_id % 10 = 9 THEN 'fetch_failed' WHEN fresh_count = 0 THEN 'no_menu_on_page'
+                                      WHEN reason = 'current_has_equal_or_more' THEN 'current_is_better' ELSE reason END AS reason
+        FROM compared JOIN companies c ON c.id = company_id WHERE current_count > 0""",
 )
 def menu_flow(fx):
     from streetbook.plans.menu_refresh import refresh_menus
@@ -269,8 +269,7 @@ def menu_flow(fx):
     ).groupBy(F.col("company_id").alias("id"))
     menus = menus.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("section", "items")))).alias("menu"))
     companies = fx.companies.join(menus, "id")
-    log = refresh_menus(companies, pages.select("url", "html")).log
-    return log.filter("reason rlike '^(fetch|no_menu|more)'").select("id", "reason")
+    return refresh_menus(companies, pages.select("url", "html")).log.select("id", "reason")
 
 
 # The pages of every tenth company were not fetched, those of the next are anti-bot pages; some companies have no city.

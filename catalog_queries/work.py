@@ -74,7 +74,7 @@ def h03(fx):
 
 RUN = """SELECT user_id % 30 AS city_id, event_type AS category, CAST(SUM(floor(value)) AS BIGINT) AS saved,
                 MIN(event_id) % 3 = 0 AS error
-         FROM events WHERE event_id % 4 <> 0 GROUP BY user_id % 30, event_type"""
+         FROM events GROUP BY user_id % 30, event_type"""
 PARSED = """SELECT p.city_id, p.total, p.last_attempt, p.status, CASE WHEN p.city_id % 2 = 0 THEN 'view' ELSE 'old' END AS one
             FROM progress p"""
 
@@ -179,7 +179,9 @@ def h06_unbounded(fx):
 
 
 GRID = [("v", "view"), ("c", "click"), ("p", "purchase"), ("s", "signup"), ("e", "error"), ("o", "other")]
-DONE = "SELECT user_id % 25 AS city_id, event_type AS slug FROM events WHERE event_id % 50 = 0 GROUP BY user_id % 25, event_type"
+# Two thirds of the cities have seen views alone.
+DONE = """SELECT DISTINCT user_id % 25 AS city_id, CASE WHEN user_id % 25 % 3 = 0 THEN event_type ELSE 'view' END AS slug
+          FROM events"""
 
 
 @register(

@@ -59,38 +59,39 @@ VIEWS = {
                lower(replace(p_brand, '#', '-')) AS slug
         FROM part""",
     "company_categories": """
-        SELECT DISTINCT o_custkey AS company_id, CAST(substr(p_brand, 7) AS BIGINT) AS category_id
-        FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey
-        WHERE l_linenumber = 1 AND o_custkey % 13 <> 0""",
+        SELECT DISTINCT CASE WHEN o_custkey % 13 = 5 THEN o_custkey - 1 ELSE o_custkey END AS company_id,
+               CAST(substr(p_brand, 7) AS BIGINT) AS category_id
+        FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey""",
     "tags": """
-        SELECT CAST(row_number() OVER (ORDER BY p_name) AS BIGINT) AS id, p_name AS name,
-               replace(p_name, ' ', '-') AS slug,
+        SELECT MIN(p_partkey) AS id, p_name AS name, replace(p_name, ' ', '-') AS slug,
                CASE WHEN p_name LIKE 'red%' THEN NULL ELSE substr(p_name, instr(p_name, ' ') + 1) END AS category
-        FROM (SELECT DISTINCT p_name FROM part) q""",
+        FROM part GROUP BY p_name""",
     "company_tags": """
         SELECT DISTINCT o_custkey AS company_id, t.id AS tag_id
         FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey
-                    JOIN tags t ON t.name = p_name
-        WHERE l_linenumber = 2""",
+                    JOIN tags t ON t.name = p_name""",
     "menu_old": """
         SELECT o_custkey AS company_id, p_type AS section,
                CAST(row_number() OVER (PARTITION BY o_custkey, p_type ORDER BY o_orderkey, l_linenumber, l_partkey)
                     AS BIGINT) AS pos,
                p_name AS name, concat(CAST(CAST(floor(p_retailprice) AS BIGINT) AS STRING), ' руб.') AS price
-        FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey
-        WHERE l_linenumber <= 2 AND o_orderkey % 4 <> 0""",
+        FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey""",
     "menu_fresh": """
-        SELECT o_custkey AS company_id, p_type AS section,
-               CAST(row_number() OVER (PARTITION BY o_custkey, p_type ORDER BY o_orderkey, l_linenumber, l_partkey)
-                    AS BIGINT) AS pos,
-               p_name AS name, concat(CAST(CAST(floor(p_retailprice) AS BIGINT) AS STRING), ' руб.') AS price
-        FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey
-        WHERE l_linenumber <= 2 AND o_orderkey % 4 <> 1""",
+        SELECT company_id, section,
+               CAST(row_number() OVER (PARTITION BY company_id, section ORDER BY o_orderkey, l_linenumber, l_partkey)
+                    AS BIGINT) AS pos, name, price
+        FROM (SELECT o_orderkey, l_linenumber, l_partkey,
+                     CASE WHEN o_custkey % 29 = 5 OR (o_custkey % 5 = 3 AND o_orderkey % 4 = 1) THEN o_custkey - 1
+                          ELSE o_custkey END AS company_id,
+                     CASE WHEN o_custkey % 5 = 1 AND o_orderkey % 4 = 1 THEN concat(p_type, ' NEW') ELSE p_type END AS section,
+                     CASE WHEN o_custkey % 5 = 0 AND o_orderkey % 4 = 1 THEN concat(p_name, ' new') ELSE p_name END AS name,
+                     concat(CAST(CAST(floor(p_retailprice) AS BIGINT) AS STRING), ' руб.') AS price
+              FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey) q""",
     "incoming": """
         SELECT CASE WHEN id % 2 = 0 THEN external_id ELSE NULL END AS external_id,
                CASE WHEN id % 3 = 0 THEN url ELSE concat(url, 'new/') END AS url, name, address, city_id, website,
                rating, review_count
-        FROM companies WHERE id % 7 < 3""",
+        FROM companies""",
     "favorites": """
         SELECT DISTINCT user_id, event_id % (SELECT COUNT(*) FROM customer) AS company_id
         FROM events WHERE event_type = 'purchase'""",
