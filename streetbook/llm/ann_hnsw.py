@@ -11,8 +11,8 @@ there. So the nearest by distance are those with the largest product, for vector
 its shard and points are scaled by the shard's largest component, single precision tells them apart whatever their length.
 
 Equal vectors are one node with their smallest ``top + 1`` identifiers: no more of them can be among a query's ``top``, so
-nothing is lost and a vector that fills a third of the table is one node. Queries are laid out in blocks, and each block
-visits each shard; a shard answers with each query's ``top`` rows scored exactly in double precision, and these are merged.
+nothing is lost and a vector that fills a third of the table is one node. Queries go to the shards of their length: a shard is
+read once for every ``PART`` of them, answers with each query's ``top`` rows scored exactly in double precision, and these are merged.
 
 Vectors that are null, empty or zero, or hold null or non-finite components, take no part, neither do rows without
 identifier. Vectors of different length never meet. Rows that repeat identifier and vector count once as candidates and
@@ -21,8 +21,6 @@ queries. Ties go to the smaller identifier. With no candidates a query has no ro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -32,8 +30,10 @@ from pyspark.sql import window as W
 
 from streetbook.llm.shared import stored, tasks
 
-#: Vectors of a shard, queries of a block.
-SHARD, BLOCK = 8192, 512
+#: Vectors of a shard, queries that meet one copy of a shard, queries searched at once.
+SHARD, PART, BLOCK = 8192, 16384, 256
+#: With at most so many shards the table of their numbers, one short row for each length, is broadcast.
+FEW = 1_000_000
 #: Links of a node on upper levels (twice as many on the lowest), beams of building and searching.
 LINKS, BUILD_BEAM, SEARCH_BEAM = 16, 64, 128
 BATCH = 256
@@ -271,41 +271,44 @@ def search_index(
     """``(query_id, rank, vec_id, score)`` of the ``top`` rows of the index for each query but the query's own."""
     v = F.col(vector).cast("array<double>")
     asked = queries.filter(F.col(vec_id).isNotNull() & usable(v)).select(F.col(vec_id).cast("long").alias("query_id"), v.alias("v")).distinct()
-    count = asked.count()
-    blocks = max(1, -(-count // BLOCK))
-    asked = asked.withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    asked = asked.groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "v")).alias("asked"))
-    # each block visits each shard of its length: about one such pair to a task
-    pairs = max(tasks(index.sparkSession), blocks * max(1, index.count()))
-    work = asked.join(index, "dim").repartition(pairs, "dim", "block", "shard")
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                vectors = np.frombuffer(row["vectors"], dtype=np.float64).reshape(row["n"], row["dim"])
-                graph = Graph.__new__(Graph)
-                graph.points = lifted(vectors)
-                graph.norms = (graph.points * graph.points).sum(axis=1)
-                graph.neighbours = [np.frombuffer(t, dtype=np.int32).reshape(row["n"], -1) for t in row["levels"]]
-                graph.entry = row["entry"]
-                ids = row["ids"]
-                out: list[tuple[int, int, float]] = []
-                for begin in range(0, len(row["asked"]), 256):
-                    some = row["asked"][begin : begin + 256]
-                    q = np.array([s["v"] for s in some], dtype=np.float64)
-                    unit = q / np.abs(q).max(axis=1, keepdims=True)
-                    unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
-                    found = graph.nearest(np.column_stack([unit, np.zeros(len(q))]).astype(np.float32), max(beam, top + 1))
-                    for s, vector, nodes in zip(some, q, found):
-                        nodes = nodes[nodes >= 0]
-                        scores = (vectors[nodes] * vector).sum(axis=1)
-                        rows = [(-float(x), other) for x, node in zip(scores, nodes) for other in ids[node] if other != s["query_id"]]
-                        out += [(s["query_id"], other, -x) for x, other in sorted(rows)[:top]]
-                columns = [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
-
-    found = work.mapInArrow(find, "query_id long, vec_id long, score double")
+    asked = asked.withColumn("dim", F.size("v"))
+    parts, shards = max(1, -(-asked.count() // PART)), index.count()
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id", "v"), F.lit(parts)).cast("int"))
+    # queries go to the shards, each of which is copied for every PART of them alone
+    last = index.groupBy("dim").agg(F.max("shard").alias("last"))
+    last = F.broadcast(last) if shards <= FEW else last
+    visits = asked.join(last, "dim").select("dim", F.explode(F.sequence(F.lit(0), "last")).alias("shard"), "part", "query_id", "v")
+    copies = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    place = (max(tasks(index.sparkSession), parts * max(1, shards)), "dim", "shard", "part")
+
+    def find(shard: pa.Table, some: pa.Table) -> pa.Table:
+        out: list[tuple[int, int, float]] = []
+        if shard.num_rows and some.num_rows:
+            n, dim, ids = (shard[c][0].as_py() for c in ("n", "dim", "ids"))
+            vectors = np.frombuffer(shard["vectors"][0].as_py(), dtype=np.float64).reshape(n, dim)
+            graph = Graph.__new__(Graph)
+            graph.points = lifted(vectors)
+            graph.norms = (graph.points * graph.points).sum(axis=1)
+            graph.neighbours = [np.frombuffer(t, dtype=np.int32).reshape(n, -1) for t in shard["levels"][0].as_py()]
+            graph.entry = shard["entry"][0].as_py()
+            numbers = some["query_id"].to_pylist()
+            asked = np.concatenate([c.flatten().to_numpy() for c in some["v"].chunks]).reshape(-1, dim)
+            for begin in range(0, len(asked), BLOCK):
+                q = asked[begin : begin + BLOCK]
+                unit = q / np.abs(q).max(axis=1, keepdims=True)
+                unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+                found = graph.nearest(np.column_stack([unit, np.zeros(len(q))]).astype(np.float32), max(beam, top + 1))
+                for own, vector, nodes in zip(numbers[begin : begin + BLOCK], q, found):
+                    nodes = nodes[nodes >= 0]
+                    scores = (vectors[nodes] * vector).sum(axis=1)
+                    rows = [(-float(x), other) for x, node in zip(scores, nodes) for other in ids[node] if other != own]
+                    out += [(own, other, -x) for x, other in sorted(rows)[:top]]
+        columns = [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))]
+        return pa.Table.from_arrays(columns, names=["query_id", "vec_id", "score"])
+
+    keys = ("dim", "shard", "part")
+    met = copies.repartition(*place).groupBy(*keys).cogroup(visits.repartition(*place).groupBy(*keys))
+    found = met.applyInArrow(find, "query_id long, vec_id long, score double")
     best = W.Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
     return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
