@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog_queries import register
+from streetbook.dicts import phrases as P
 from streetbook.functions import contacts as N
 from streetbook.functions import text as T
 from streetbook.operators import describe as D
@@ -171,22 +172,79 @@ SPOKEN = """concat(coalesce(description, ''), CASE id % 5 WHEN 0 THEN ' Кто 
             WHEN 1 THEN '.  Режим работы с 9 до 18. Телефон и Адрес ниже.' WHEN 2 THEN ' Да! Нет? Yes! No? Ой' ELSE '' END)"""
 
 
-@register("c06_format_text")
+# The paragraph rules without lookahead. What has to follow a match is marked beforehand by a character that no text holds; a
+# letter with its mark before it counts as one.
+WHITE, BLACK = r"[\t-\r \x{85}\p{Z}]", r"[^\t-\r \x{85}\p{Z}]"
+CAPITAL, SMALL = "[А-ЯA-Z]", "[а-яa-z]"
+MARK = "\ue000"
+LETTER = rf"(?:{MARK}?[^\n{MARK}])"
+EMPTY_LINES = (r"\n{3,}", "\n\n")
+
+
+def _regex(expr: str, *steps: tuple[str, str]) -> str:
+    return _steps(expr, [(pattern, f"'{value}'") for pattern, value in steps])
+
+
+def _sentences(expr: str, least: int, ends: str, follows: str, value: str) -> str:
+    """A break after the last sentence of a line that ends at ``least`` characters or later before ``follows``."""
+    return _regex(expr, (rf"({WHITE})({follows})", rf"\1{MARK}\2"), (rf"({LETTER}{{{least},}}{ends})({WHITE}+){MARK}", value), (MARK, ""))
+
+
+def _long_text(expr: str) -> str:
+    open_ends = _regex(
+        expr, (r"[ \t]+", " "), (rf"\?({WHITE}+)({CAPITAL})", "?\n\\1\\2"), (rf"!({WHITE}+)({CAPITAL})", "!\n\n\\1\\2")
+    )
+    split = _sentences(open_ends, 100, r"\.", CAPITAL, "\\1\n\n\\2")
+    named = _regex(split, *[(rf"({BLACK}[^\n]*?)({p})", "\\1\n\n\\2") for p in P.LONG_TEXT_PHRASES])
+    return _trim(_regex(named, EMPTY_LINES, ("(?m)^ +", "")))
+
+
+def _page_text(expr: str) -> str:
+    """Up to the commas before a capital, which are marked; ``_commas`` goes on from there."""
+    open_ends = _regex(
+        _trim(expr), (r"(\p{L})\n+(\p{L})", r"\1\2"), (rf"([.!?])({CAPITAL})", r"\1 \2"), (r"[ \t]{2,}", " "),
+        (rf"\?{WHITE}+({CAPITAL})", "?\n\\1"), (rf"!{WHITE}+({CAPITAL})", "!\n\n\\1"),
+    )
+    split = _sentences(open_ends, 30, r"\.", CAPITAL + SMALL, "\\1\n\n")
+    named = _regex(split, *[(rf"(?i)([.!?]){WHITE}+({p})", "\\1\n\n\\2") for p in P.PAGE_PHRASES])
+    return _regex(named, (rf"(,{WHITE}+)({CAPITAL}{SMALL}{{3,}}{WHITE})", rf"\1{MARK}\2"))
+
+
+def _commas(parts: str) -> str:
+    """A break after a comma unless a line ends within the 51 characters behind it; ``parts`` are cut at the marks."""
+    ahead = f"substr(array_to_string({parts}[i + 1:], ''), 1, 51)"
+    cut = rf"""CASE WHEN i < len({parts}) AND NOT contains({ahead}, chr(10))
+                    THEN regexp_replace({parts}[i], ',{WHITE}+$', concat(',', chr(10))) ELSE {parts}[i] END"""
+    joined = f"array_to_string(list_transform(range(1, len({parts}) + 1), lambda i: {cut}), '')"
+    return _trim(_regex(joined, EMPTY_LINES, ("(?is)Ищите нас в соцсетях.*$", "")))
+
+
+def _fresh_text(expr: str) -> str:
+    split = _sentences(_regex(expr, (r"[ \t]+", " ")), 150, "[.!?]", CAPITAL, "\\1\n\n\\2")
+    return _trim(_regex(split, *[(rf"([.!?]){WHITE}+({p})", "\\1\n\n\\2") for p in P.REFRESH_PHRASES], EMPTY_LINES))
+
+
+@register("c06_format_text", f"SELECT id, {_long_text('t')} AS f FROM (SELECT id, {SPOKEN} AS t FROM companies) q")
 def c06(fx):
     return fx.sql(f"SELECT id, {SPOKEN} AS t FROM companies").select("id", T.format_text("t").alias("f"))
 
 
-@register("c07_format_description")
+@register(
+    "c07_format_description",
+    f"""WITH cut AS MATERIALIZED (SELECT id, string_split({_page_text('t')}, '{MARK}') AS parts
+                                  FROM (SELECT id, {SPOKEN} AS t FROM companies) q)
+        SELECT id, {_commas('parts')} AS f FROM cut""",
+)
 def c07(fx):
     return fx.sql(f"SELECT id, {SPOKEN} AS t FROM companies").select("id", T.format_description("t").alias("f"))
 
 
-@register("c08_format_smart")
+@register("c08_format_smart", f"SELECT id, {_fresh_text('t')} AS f FROM (SELECT id, {SPOKEN} AS t FROM companies) q")
 def c08(fx):
     return fx.sql(f"SELECT id, {SPOKEN} AS t FROM companies").select("id", T.format_smart("t").alias("f"))
 
 
-# The texts have a first line, so the paragraph step, which the SQL engine cannot say, leaves them alone.
+# The texts have a first line, so the paragraph step leaves them alone; those of the other query are on one line.
 LINED = f"SELECT id, website, concat('About', chr(10), t) AS t FROM ({WITH_TEXT}) q"
 NORMALIZED = f"""
     base AS ({LINED}), src AS (SELECT * FROM base), {WEBSITE},
@@ -203,12 +261,18 @@ def c09(fx):
     return done.select("id", "description", "website", F.array_join(F.sort_array("phones"), "|").alias("phones"))
 
 
-@register("c09_normalize_unbroken_texts")
+UNBROKEN = NORMALIZED.replace(LINED, f"SELECT id, website, replace(t, chr(10), ' ') AS t FROM ({WITH_TEXT}) q").replace(
+    f"{_trim('rest')} AS description",
+    f"""CASE WHEN strlen(rest) > 200 AND NOT contains(rest, chr(10)) THEN {_long_text('rest')} ELSE {_trim('rest')} END AS description""",
+)
+
+
+@register("c09_normalize_unbroken_texts", f"WITH {UNBROKEN} SELECT id, description, website, phones FROM done")
 def c09_unbroken(fx):
     """Whole texts on one line, so that the paragraph step works on every long one."""
     rows = _texts(fx).withColumn("description", F.replace("t", F.lit("\n"), F.lit(" "))).drop("t")
     done = D.normalize_descriptions(rows)
-    return done.select("id", "description", "website", F.array_join("phones", "|").alias("phones"))
+    return done.select("id", "description", "website", F.array_join(F.sort_array("phones"), "|").alias("phones"))
 
 
 LETTERS = "АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"
