@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog_queries import register
 from catalog_queries import site_pages as P
 from catalog_queries.merges import MENU_SIDES
+from catalog_queries.texts import MARK, commas, page_text
 from streetbook.functions import contacts as N
 from streetbook.operators import extract as X
 
@@ -219,19 +220,21 @@ def b14(fx):
     return trees.select("page_id", N.is_block_page(X.title_column(F.col("tree"))).alias("blocked"))
 
 
+COPIED = "'Информация  скопирована с Yell.ru вчера'"
+TOLD = "description || chr(10) || chr(10) || chr(10) || 'Line two. Вот так, Наши  цены. '"
+
+
 @register(
     "b15_page_description",
-    """SELECT id, CASE WHEN description IS NULL THEN NULL
-                  ELSE concat('Line one of ', name, chr(10), chr(10), 'line two') END AS description FROM companies""",
+    f"""WITH cut AS MATERIALIZED (SELECT id, string_split({page_text('t')}, '{MARK}') AS parts
+                                  FROM (SELECT id, {TOLD} AS t FROM companies) q)
+        SELECT id, {commas('parts')} AS description FROM cut""",
 )
 def b15(fx):
-    text = F.when(
-        F.col("description").isNotNull(),
-        F.concat(F.lit("Line  one of "), F.col("name"), F.lit("\n\n\nline two. Информация  скопирована с Yell.ru вчера")),
-    )
-    trees = X.with_tree(P.detail_pages(fx.companies.withColumn("description", text)))
-    body = X.description_column(F.col("tree"))
-    return trees.select("id", F.regexp_replace(body, r"\.$", "").alias("description"))
+    """Whole descriptions, each with a line more and the footer of a directory."""
+    rows = fx.companies.withColumn("description", F.expr(f"{TOLD} || {COPIED}"))
+    trees = X.with_tree(P.detail_pages(rows))
+    return trees.select("id", X.description_column(F.col("tree")).alias("description"))
 
 
 @register(

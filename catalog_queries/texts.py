@@ -199,8 +199,8 @@ def _long_text(expr: str) -> str:
     return _trim(_regex(named, EMPTY_LINES, ("(?m)^ +", "")))
 
 
-def _page_text(expr: str) -> str:
-    """Up to the commas before a capital, which are marked; ``_commas`` goes on from there."""
+def page_text(expr: str) -> str:
+    """Up to the commas before a capital, which are marked; ``commas`` goes on from there."""
     open_ends = _regex(
         _trim(expr), (r"(\p{L})\n+(\p{L})", r"\1\2"), (rf"([.!?])({CAPITAL})", r"\1 \2"), (r"[ \t]{2,}", " "),
         (rf"\?{WHITE}+({CAPITAL})", "?\n\\1"), (rf"!{WHITE}+({CAPITAL})", "!\n\n\\1"),
@@ -210,7 +210,7 @@ def _page_text(expr: str) -> str:
     return _regex(named, (rf"(,{WHITE}+)({CAPITAL}{SMALL}{{3,}}{WHITE})", rf"\1{MARK}\2"))
 
 
-def _commas(parts: str) -> str:
+def commas(parts: str) -> str:
     """A break after a comma unless a line ends within the 51 characters behind it; ``parts`` are cut at the marks."""
     ahead = f"substr(array_to_string({parts}[i + 1:], ''), 1, 51)"
     cut = rf"""CASE WHEN i < len({parts}) AND NOT contains({ahead}, chr(10))
@@ -231,9 +231,9 @@ def c06(fx):
 
 @register(
     "c07_format_description",
-    f"""WITH cut AS MATERIALIZED (SELECT id, string_split({_page_text('t')}, '{MARK}') AS parts
+    f"""WITH cut AS MATERIALIZED (SELECT id, string_split({page_text('t')}, '{MARK}') AS parts
                                   FROM (SELECT id, {SPOKEN} AS t FROM companies) q)
-        SELECT id, {_commas('parts')} AS f FROM cut""",
+        SELECT id, {commas('parts')} AS f FROM cut""",
 )
 def c07(fx):
     return fx.sql(f"SELECT id, {SPOKEN} AS t FROM companies").select("id", T.format_description("t").alias("f"))
