@@ -119,6 +119,27 @@ def f06_overnight(fx):
     return B.open_at(fx.companies, NIGHT, overnight=True).select("id")
 
 
+# Opening times of each day of the week; a line past midnight has a part on each of two days.
+SPANS = """
+    days(day, code) AS (VALUES (0, 'Mo'), (1, 'Tu'), (2, 'We'), (3, 'Th'), (4, 'Fr'), (5, 'Sa'), (6, 'Su')),
+    lines AS (SELECT id, split_part(hours_line, ': ', 1) AS names, split_part(hours_line, ': ', 2) AS t FROM companies),
+    times AS (SELECT id, names, CAST(substr(t, 1, 2) AS INT) * 3600 + CAST(substr(t, 4, 2) AS INT) * 60 AS o,
+                     CAST(substr(t, 7, 2) AS INT) * 3600 + CAST(substr(t, 10, 2) AS INT) * 60 AS c FROM lines),
+    named AS (SELECT id, day, o, c FROM times JOIN days ON contains(names, code) OR contains(names, 'Daily')),
+    spans AS (SELECT id, day, o AS "begin", CASE WHEN c < o THEN 86399 ELSE c END AS "end" FROM named
+              UNION SELECT id, (day + 1) % 7, 0, c FROM named WHERE c < o)"""
+
+
+@register("f06_hours_index", f"""WITH {SPANS} SELECT id, day, "begin", "end" FROM spans""")
+def f06_index(fx):
+    return B.hours_index(fx.companies, overnight=True)
+
+
+@register("f06_open_by_index", f"""WITH {SPANS} SELECT DISTINCT id FROM spans WHERE day = 5 AND "begin" <= 4500 AND "end" >= 4500""")
+def f06_by_index(fx):
+    return B.open_in(fx.companies, B.hours_index(fx.companies, overnight=True), NIGHT).select("id")
+
+
 @register(
     "f06_catalog_open_now",
     """SELECT id, rating FROM companies

@@ -13,6 +13,7 @@ from streetbook.functions.expr import col, let, trim_all
 
 EVERY_DAY = ("Daily", "All", "Every")
 DAY_CODES = "".join(d[:2] for d in P.WEEK_DAYS)
+DAY_END = 24 * 3600 - 1
 
 
 def fold_hours_map(hours: Column | str) -> Column:
@@ -80,6 +81,11 @@ def _in_range(days: Column, day: int) -> Column:
     return F.exists(F.regexp_extract_all(days, F.lit(pattern), F.lit(0)), covers)
 
 
+def _of_day(line: Column, day: int, every: Sequence[str], two_letter: bool, expand_ranges: bool) -> Column:
+    out = _names_day(line["days"], day, every, two_letter)
+    return out | _in_range(line["days"], day) if expand_ranges else out
+
+
 def _open_now(line: Column, seconds: int, overnight: bool) -> Column:
     start, end = line["open_min"] * 60, line["close_min"] * 60
     inside = (start <= seconds) & (end >= seconds)
@@ -88,7 +94,7 @@ def _open_now(line: Column, seconds: int, overnight: bool) -> Column:
     return F.coalesce(inside, F.lit(False))
 
 
-def _seconds(as_of: datetime) -> int:
+def seconds_of_day(as_of: datetime) -> int:
     return as_of.hour * 3600 + as_of.minute * 60 + as_of.second
 
 
@@ -105,23 +111,47 @@ def is_open(
     By default a day counts only when its name stands in the line, and a closing time before the opening time never
     matches. ``expand_ranges`` reads ``Mo-Fr``; ``overnight`` lets a line run past midnight, also from the day before.
     """
-    day = as_of.weekday()
-
-    def today(line: Column, d: int) -> Column:
-        out = _names_day(line["days"], d, every, two_letter)
-        return out | _in_range(line["days"], d) if expand_ranges else out
+    day, now = as_of.weekday(), seconds_of_day(as_of)
 
     def covers(line: Column) -> Column:
-        out = today(line, day) & _open_now(line, _seconds(as_of), overnight)
+        out = _of_day(line, day, every, two_letter, expand_ranges) & _open_now(line, now, overnight)
         if overnight:
             start, end = line["open_min"] * 60, line["close_min"] * 60
-            late = today(line, (day + 6) % 7) & (end < start) & (end >= _seconds(as_of))
+            late = _of_day(line, (day + 6) % 7, every, two_letter, expand_ranges) & (end < start) & (end >= now)
             out = out | F.coalesce(late, F.lit(False))
         return out
 
     return F.exists(hour_lines(hours), covers)
 
 
+def week_spans(
+    hours: Column | str,
+    every: Sequence[str] = EVERY_DAY,
+    two_letter: bool = True,
+    expand_ranges: bool = False,
+    overnight: bool = False,
+) -> Column:
+    """Distinct ``struct<day, begin, end>``, day 0..6 and seconds of that day, both included: when ``is_open`` holds.
+
+    Options as there. No span crosses midnight: a line that runs past it gives one for each of the two days.
+    """
+
+    def spans(line: Column) -> Column:
+        begin, end = line["open_min"] * 60, line["close_min"] * 60
+        late = end < begin if overnight else F.lit(False)
+
+        def of(day: int) -> Column:
+            span = F.struct(F.lit(day).alias("day"), begin.alias("begin"), F.when(late, DAY_END).otherwise(F.least(end, F.lit(DAY_END))).alias("end"))
+            rest = F.struct(F.lit((day + 1) % 7).alias("day"), F.lit(0).alias("begin"), end.alias("end"))
+            known = _of_day(line, day, every, two_letter, expand_ranges) & begin.isNotNull() & end.isNotNull()
+            return F.array(F.when(known, span), F.when(known & late, rest))
+
+        return F.concat(*[of(day) for day in range(7)])
+
+    found = F.flatten(F.transform(hour_lines(hours), lambda line: let(line, spans)))
+    return F.array_distinct(F.filter(found, lambda s: s["begin"] <= s["end"]))
+
+
 def open_status(hours: Column | str, as_of: datetime) -> Column:
     """Card label: until when the first open line runs, else when the last line of the day opens; null if no line."""
     day = as_of.weekday()
@@ -143,7 +173,7 @@ def open_status(hours: Column | str, as_of: datetime) -> Column:
 
 def next_opening(hours: Column | str, as_of: datetime) -> Column:
     """``struct<is_open, day, time>``: the next opening of a closed company, within seven days."""
-    day, now = as_of.weekday(), _seconds(as_of)
+    day, now = as_of.weekday(), seconds_of_day(as_of)
 
     def find(lines: Column) -> Column:
         def of_day(d: int) -> Column:

@@ -75,3 +75,13 @@ def save_catalog(cat: Catalog, folder: str, names: tuple[str, ...] | None = None
             for f in struct_type(name).fields
         ]
         out.select(*known).write.mode("errorifexists").parquet(f"{folder}/{name}")
+
+
+def save_hours(index: DataFrame, folder: str) -> None:
+    """Write an index of opening hours to a new folder, a part for each day, sorted by opening time."""
+    rows = index.repartitionByRange("day", "begin", "id").sortWithinPartitions("day", "begin", "end")
+    rows.write.mode("errorifexists").partitionBy("day").parquet(folder)
+
+
+def load_hours(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("id bigint, begin int, end int, day int").parquet(folder)

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
+from itertools import product
 
 import pytest
 
 from streetbook.functions import hours as H
+from streetbook.operators import browse as B
+from streetbook.sources import catalog as S
 
 MON = datetime(2024, 1, 1, 11, 30)
 
@@ -83,3 +86,34 @@ def test_format(spark):
 def test_map_form(spark):
     df = spark.createDataFrame([({"Mon": "09:00-10:00"},)], "h map<string,string>")
     assert df.select(H.fold_hours_map("h").alias("x")).first()["x"] == ["Mon: 09:00-10:00"]
+
+
+WEEKS = [
+    None, [], ["none"], ["Mon: closed"], ["Mon: 09:00-18:00"], ["Mon: 09:00-18:00", "Mon: 17:00-20:00"], ["Daily: 00:00-24:00"],
+    ["Fri,Sat: 20:00-03:00"], ["Mo-Fr: 08:30-12:00", "Sa: 24:00-02:00"], ["Fr-Mo: 23:59-00:00"], ["Sun: 10:00-10:00"], ["Sun: 25:00-26:00"],
+]
+
+
+@pytest.mark.parametrize("options", [{}, {"overnight": True}, {"expand_ranges": True, "overnight": True}, {"every": ("Daily",), "two_letter": False}])
+def test_index_agrees_with_the_lines(spark, options):
+    df = spark.createDataFrame(list(enumerate(WEEKS)), "id int, working_hours array<string>")
+    moments = [datetime(2024, 1, 1) + timedelta(days=d, seconds=s) for d, s in product(range(7), (0, 1, 10800, 10801, 36000, 43201, 64800, 64801, 72000, 86340, 86399))]
+    asked = [H.is_open("working_hours", m, **options).alias(f"m{i}") for i, m in enumerate(moments)]
+    want = {r["id"]: [bool(r[f"m{i}"]) for i in range(len(moments))] for r in df.select("id", *asked).collect()}
+    got = {i: [False] * len(moments) for i in want}
+    for r in B.hours_index(df, **options).collect():
+        assert 0 <= r.begin <= r.end < 86400
+        for i, m in enumerate(moments):
+            got[r.id][i] |= r.day == m.weekday() and r.begin <= H.seconds_of_day(m) <= r.end
+    assert got == want
+
+
+def test_stored_index_reads_one_day(spark, tmp_path):
+    df = spark.createDataFrame(list(enumerate(WEEKS)), "id long, working_hours array<string>")
+    S.save_hours(B.hours_index(df, overnight=True), f"{tmp_path}/hours")
+    index = S.load_hours(spark, f"{tmp_path}/hours")
+    night = datetime(2024, 1, 6, 1, 15)
+    found = B.open_in(df, index, night)
+    assert sorted(r.id for r in found.collect()) == sorted(r.id for r in B.open_at(df, night, overnight=True).collect()) == [6, 7]
+    plan = index.filter("day = 5 and begin <= 4500 and `end` >= 4500").select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "LessThanOrEqual(begin,4500), GreaterThanOrEqual(end,4500)" in plan
