@@ -39,6 +39,28 @@ def f01_city(fx):
     return B.search(fx.catalog("companies", "cities"), "THE", city_id=7).select("id", "name", "rating", "city_name")
 
 
+@register(
+    "f01_text_index",
+    """SELECT gram, COUNT(DISTINCT id) AS companies FROM (
+           SELECT id, unnest(list_transform(range(1, greatest(length(t) - 1, 1)), lambda i: substr(t, i, 3))) AS gram
+           FROM (SELECT id, lower(unnest([name, description, address])) AS t FROM companies) q) g GROUP BY gram""",
+)
+def f01_index(fx):
+    return B.text_index(fx.companies).groupBy("gram").agg(F.count("*").alias("companies"))
+
+
+@register(
+    "f01_search_by_index",
+    """SELECT c.id, c.name, c.rating, ci.name AS city_name FROM companies c LEFT JOIN cities ci ON c.city_id = ci.id
+       WHERE c.name ILIKE '%toMER#0%1_%5%' OR c.description ILIKE '%toMER#0%1_%5%' OR c.address ILIKE '%toMER#0%1_%5%'
+       ORDER BY c.rating DESC NULLS LAST, c.review_count DESC, c.id LIMIT 100""",
+)
+def f01_by_index(fx):
+    cat = fx.catalog("companies", "cities")
+    found = B.search(cat, "toMER#0%1_%5", n=100, texts=B.text_index(fx.companies))
+    return found.select("id", "name", "rating", "city_name")
+
+
 @register(
     "f02_by_tag",
     """SELECT c.id, c.name, c.rating, ci.name AS city_name

@@ -116,6 +116,16 @@ def needs_paragraphs(text: Column) -> Column:
     return (F.octet_length(text) > 200) & ~F.contains(text, F.lit("\n"))
 
 
+def text_grams(text: Column | str, n: int = 3) -> Column:
+    """Distinct runs of ``n`` characters of the lower-cased text; its characters are taken apart once, so long texts stay linear."""
+
+    def runs(chars: Column) -> Column:
+        count = F.greatest(F.size(chars) - F.lit(n - 1), F.lit(0))
+        return F.transform(F.slice(chars, F.lit(1), count), lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, n)]))
+
+    return F.array_distinct(let(F.split(F.lower(col(text)), ""), runs))
+
+
 def strip_tags(text: Column | str) -> Column:
     return F.regexp_replace(col(text), "<[^>]*>", "")
 

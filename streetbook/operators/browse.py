@@ -5,6 +5,7 @@ Dimension joins carry no broadcast hint: Spark broadcasts a side when its size a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import datetime
 
@@ -15,12 +16,16 @@ from streetbook.dicts.categories import OTHER_TAGS
 from streetbook.dicts.sites import SUBDOMAIN_HOST
 from streetbook.functions.contacts import url_subdomain
 from streetbook.functions.hours import is_open, next_opening, open_status, seconds_of_day, week_spans
-from streetbook.functions.text import short_text
+from streetbook.functions.text import short_text, text_grams
 from streetbook.operators.common import join_known
 from streetbook.sources.catalog import Catalog
 
 
-def text_filter(q: str, columns: Sequence[str] = ("name", "description", "address")) -> Column:
+TEXTS = ("name", "description", "address")
+GRAM = 3
+
+
+def text_filter(q: str, columns: Sequence[str] = TEXTS) -> Column:
     """Case-insensitive match anywhere; ``%`` and ``_`` in the query are wildcards."""
     out = F.lit(False)
     for name in columns:
@@ -28,6 +33,33 @@ def text_filter(q: str, columns: Sequence[str] = ("name", "description", "addres
     return out
 
 
+def text_index(companies: DataFrame, columns: Sequence[str] = TEXTS) -> DataFrame:
+    """``gram, id``: each run of three characters of a company's texts, once for each company. No shuffle is needed."""
+    every = F.array_distinct(F.concat(*[F.coalesce(text_grams(c, GRAM), F.array().cast("array<string>")) for c in columns]))
+    return companies.select(F.explode(every).alias("gram"), "id")
+
+
+def query_grams(q: str) -> list[str]:
+    """Grams that any text matching ``q`` holds: wildcards and escapes part the query."""
+    parts = re.split(r"[%_\\]", q)
+    return sorted({part[i : i + GRAM] for part in parts for i in range(len(part) - GRAM + 1)})
+
+
+def text_matches(companies: DataFrame, q: str, texts: DataFrame | None = None) -> DataFrame:
+    """Companies that ``text_filter`` keeps. With ``texts``, from ``text_index``, only those that hold all grams of the query
+    are looked at; a query without a gram looks at all."""
+    grams = query_grams(q)
+    if texts is None or not grams:
+        return companies.filter(text_filter(q))
+    # lowered by Spark, as the texts were
+    wanted = texts.filter(F.col("gram").isin([F.lower(F.lit(g)) for g in grams]))
+    found = wanted.groupBy("id").agg(F.count("*").alias("_grams"))
+    held = F.size(F.array_distinct(F.array(*[F.lower(F.lit(g)) for g in grams])))
+    # the check names a column of the index, so that it comes after the join and not before
+    check = F.when(F.col("_grams") == held, text_filter(q))
+    return companies.join(found, "id").filter(check).select(*companies.columns)
+
+
 def with_city(companies: DataFrame, cities: DataFrame, slug: bool = False) -> DataFrame:
     names = [F.col("name").alias("city_name")] + ([F.col("slug").alias("city_slug")] if slug else [])
     return join_known(companies, cities.select(F.col("id").alias("city_id"), *names), ["city_id"])
@@ -50,10 +82,18 @@ def _by_rating() -> list[Column]:
 
 
 def search(
-    cat: Catalog, q: str = "", city_id: int | None = None, tag_ids: Sequence[int] = (), n: int = 20
+    cat: Catalog,
+    q: str = "",
+    city_id: int | None = None,
+    tag_ids: Sequence[int] = (),
+    n: int = 20,
+    texts: DataFrame | None = None,
 ) -> DataFrame:
-    """Text search over name, description and address, in a city, with all of the tags; best rated first."""
-    hits = cat.companies.filter(text_filter(q))
+    """Text search over name, description and address, in a city, with all of the tags; best rated first.
+
+    ``texts``, from ``text_index``, spares looking at the texts of companies that cannot match.
+    """
+    hits = text_matches(cat.companies, q, texts)
     if city_id is not None:
         hits = hits.filter(F.col("city_id") == city_id)
     if tag_ids:
@@ -78,14 +118,18 @@ def in_category(cat: Catalog, slug: str) -> DataFrame:
 
 
 def catalog_rows(
-    cat: Catalog, city_id: int | None = None, category: str | None = None, q: str = ""
+    cat: Catalog,
+    city_id: int | None = None,
+    category: str | None = None,
+    q: str = "",
+    texts: DataFrame | None = None,
 ) -> DataFrame:
-    """The filter behind the catalog page, one row per company."""
+    """The filter behind the catalog page, one row per company; ``texts`` as in ``search``."""
     hits = cat.companies
     if city_id is not None:
         hits = hits.filter(F.col("city_id") == city_id)
     if q:
-        hits = hits.filter(text_filter(q))
+        hits = text_matches(hits, q, texts)
     if category is not None:
         hits = hits.join(in_category(cat, category), "id", "left_semi")
     return hits
@@ -114,12 +158,14 @@ def catalog(
     n: int = 50,
     open_now: datetime | None = None,
     hours: DataFrame | None = None,
+    texts: DataFrame | None = None,
 ) -> DataFrame:
     """Catalog page: filter, open-now filter, sort, limit, then the city name of the rows kept.
 
-    ``hours``, from ``hours_index``, answers the open-now filter without reading the hours of the companies.
+    ``hours``, from ``hours_index``, answers the open-now filter without reading the hours of the companies;
+    ``texts`` as in ``search``.
     """
-    hits = catalog_rows(cat, city_id, category, q)
+    hits = catalog_rows(cat, city_id, category, q, texts)
     if open_now is not None:
         hits = open_at(hits, open_now) if hours is None else open_in(hits, hours, open_now)
     top = sort_catalog(hits, sort, order).limit(n)

@@ -85,3 +85,13 @@ def save_hours(index: DataFrame, folder: str) -> None:
 
 def load_hours(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("id bigint, begin int, end int, day int").parquet(folder)
+
+
+def save_texts(index: DataFrame, folder: str) -> None:
+    """Write an index of texts to a new folder, in ranges of grams: a question reads the parts that hold its grams."""
+    rows = index.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id")
+    rows.write.mode("errorifexists").parquet(folder)
+
+
+def load_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("gram string, id bigint").parquet(folder)
