@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,29 @@ def test_menu_long(spark):
     tree = X.with_tree(pages(spark, MENU)).select("url", X.menu_column(F.col("tree")).alias("menu"))
     rows = X.menu_long(tree, "url").orderBy("section_pos", "pos").collect()
     assert [(r["section"], r["section_pos"], r["pos"], r["name"]) for r in rows] == [("Суп", 1, 1, "Борщ"), ("Суп", 1, 2, "Уха")]
+
+
+def test_a_batch_is_parsed_piece_by_piece(monkeypatch):
+    monkeypatch.setattr(H, "PIECE_BYTES", 100)
+    markup = ["<p>x</p>" * 5, None, "<b>y</b>" * 7, "", "<i>z" * 90, "<p>end"] * 20
+    taken = []
+
+    def batches():
+        for part in (markup, [], markup[:3]):
+            taken.append(len(part))
+            yield pa.array(part, type=pa.string())
+
+    trees, sizes = [], []
+    for out in H._parse_batches(batches()):
+        assert len(sizes) or taken == [len(markup)]
+        sizes.append(len(out))
+        trees += out.to_pylist()
+    whole = markup + markup[:3]
+    assert trees == pa.array([H._parse(m) for m in whole], type=H._TREE).to_pylist()
+    assert len(sizes) > 40 and max(sizes) <= 4
+
+
+def test_pages_of_pieces_stay_with_their_rows(spark):
+    rows = spark.range(4000, numPartitions=1).selectExpr("id", "concat(repeat('<p>', cast(id % 97 as int)), repeat('a', 2000), id) html")
+    got = X.with_tree(rows).select("id", F.size("tree.nodes").alias("n"), F.element_at("tree.texts", -1).alias("t")).collect()
+    assert len(got) == 4000 and all(r.n == r.id % 97 and r.t == "a" * 2000 + str(r.id) for r in got)
