@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from catalog_queries import site_pages as S
 from streetbook.functions import html as H
 from streetbook.operators import extract as X
 
@@ -193,3 +194,9 @@ def test_pages_of_pieces_stay_with_their_rows(spark):
     rows = spark.range(4000, numPartitions=1).selectExpr("id", "concat(repeat('<p>', cast(id % 97 as int)), repeat('a', 2000), id) html")
     got = X.with_tree(rows).select("id", F.size("tree.nodes").alias("n"), F.element_at("tree.texts", -1).alias("t")).collect()
     assert len(got) == 4000 and all(r.n == r.id % 97 and r.t == "a" * 2000 + str(r.id) for r in got)
+
+
+def test_rendered_pages_are_spread_before_they_are_parsed(spark):
+    companies = spark.range(8, numPartitions=1).selectExpr("id", "'u' url", "'1' phone", "'s' address", "'w' website")
+    plan = S.rendered_pages(companies)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" in plan
