@@ -204,23 +204,32 @@ def match_rules(df: DataFrame, rules: DataFrame, column: str = "name", out: str
     """Add ``out``: the first rule, by priority, one of whose keywords the lower-cased text contains.
 
     ``rules(rule, keyword, priority)`` is a table of any size: each distinct text is cut into its runs of up to ``ANCHOR``
-    characters, these are joined with the beginnings of the keywords, and only keywords that begin somewhere in the text are
-    compared with it. Equal priorities go by rule. Blank keywords match nothing, null texts have no rule. Rows that share a text
-    are looked up once. Long texts are cut in pieces that overlap, so the work grows with their length.
+    characters, these are joined with the lengths of the keywords that begin so, and the parts of these lengths are joined
+    with the keywords themselves. So a text meets only keywords that it holds, however many begin alike. Equal priorities go
+    by rule. Blank keywords match nothing, null texts have no rule. Rows that share a text or a keyword are looked up once.
+    Long texts are cut in pieces that overlap by the longest keyword.
     """
-    words = rules.select(F.col("rule").alias("_rule"), F.lower("keyword").alias("_word"), F.col("priority").alias("_priority"))
-    words = words.filter("_word <> ''").withColumn("_anchor", F.substring("_word", 1, ANCHOR))
+    words = rules.select(F.lower("keyword").alias("_word"), F.struct(F.col("priority").alias("_priority"), F.col("rule").alias("_rule")).alias("_first"))
+    words = words.filter("_word <> ''").groupBy("_word").agg(F.min("_first").alias("_first"))
+    begun = words.select(F.substring("_word", 1, ANCHOR).alias("_anchor"), F.length("_word").alias("_n")).distinct()
+    begun = begun.groupBy("_anchor").agg(F.collect_set("_n").alias("_lengths"))
+    longest = F.broadcast(words.agg(F.coalesce(F.max(F.length("_word")), F.lit(0)).alias("_longest")))
     texts = df.select(F.lower(column).alias("_text")).filter("_text <> ''").distinct()
 
     def runs(piece: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.length(piece))
+        starts = F.sequence(F.lit(1), F.least(F.length(piece), F.lit(PIECE)))
         return F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(piece, i, F.lit(n)) for n in range(1, ANCHOR + 1)])))
 
     places = F.sequence(F.lit(0), F.floor((F.length("_text") - 1) / PIECE))
-    pieces = F.transform(places, lambda k: F.substring("_text", (k * PIECE + 1).cast("int"), F.lit(PIECE + ANCHOR - 1)))
-    found = texts.select("_text", F.explode(F.array_distinct(F.flatten(F.transform(pieces, runs)))).alias("_anchor"))
-    found = found.join(words, "_anchor").filter(F.contains("_text", "_word"))
-    first = found.groupBy("_text").agg(F.min(F.struct("_priority", "_rule")).alias("_first"))
+    size = F.lit(PIECE + ANCHOR - 1) + F.col("_longest")
+    pieces = F.transform(places, lambda k: F.substring("_text", (k * PIECE + 1).cast("int"), size))
+    cut = texts.crossJoin(longest).select("_text", F.explode(pieces).alias("_piece"))
+    found = cut.select("_text", "_piece", F.explode(F.array_distinct(runs(F.col("_piece")))).alias("_anchor")).join(begun, "_anchor")
+    starts = F.sequence(F.lit(1), F.least(F.length("_piece"), F.lit(PIECE)))
+    here = F.filter(starts, lambda i: F.substring("_piece", i, F.length("_anchor")) == F.col("_anchor"))
+    parts = F.flatten(F.transform("_lengths", lambda n: F.transform(here, lambda i: F.substring("_piece", i, n))))
+    held = found.select("_text", F.explode(F.array_distinct(parts)).alias("_word")).join(words, "_word")
+    first = held.groupBy("_text").agg(F.min("_first").alias("_first"))
     joined = df.join(first, F.lower(column) == F.col("_text"), "left")
     return joined.withColumn(out, F.col("_first._rule")).drop("_text", "_first")
 

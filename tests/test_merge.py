@@ -303,3 +303,17 @@ def test_rules_of_a_keyword_table(spark):
     table = spark.createDataFrame([(r, w, i) for i, (r, ws) in enumerate(plain.items()) for w in ws], "rule string, keyword string, priority int")
     one, other = (sorted(map(str, K.detect_category(df, x).collect())) for x in (plain, table))
     assert one == other
+
+
+def test_keywords_that_begin_alike_meet_only_texts_that_hold_them(spark):
+    words = [(f"r{i % 7}", f"Street {i}", i % 5 if i % 11 else None) for i in range(300)]
+    words += [("long", "q" * 400 + "!", 0), ("far", "конец", 0), ("one", "z", 9), ("two", "zy", 9), ("none", "", 0), ("none", None, 0)]
+    texts = [f"at street {i * 3}" for i in range(100)] + ["a" * 300 + "q" * 400 + "!", "я" * 254 + "КОНЕЦ", "xzy", "xz", "", None, "xzy"]
+    rules = spark.createDataFrame(words * 2, "rule string, keyword string, priority int")
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, name string")
+    out = K.match_rules(df, rules)
+    assert "Contains(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    none_first = lambda w: (w[2] is not None, w[2] or 0, w[0])
+    for r in out.collect():
+        held = [w for w in words if w[1] and r.name and w[1].lower() in r.name.lower()]
+        assert r.rule == (min(held, key=none_first)[0] if held else None), r
