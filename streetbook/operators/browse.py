@@ -299,18 +299,29 @@ def city_top(cat: Catalog, city_id: int, n: int = 100) -> DataFrame:
 
 
 def company_detail(cat: Catalog, ids: Sequence[int] | DataFrame) -> DataFrame:
-    """Detail records of a set of companies: the row, its city, category names and tags."""
-    if isinstance(ids, DataFrame):
-        picked = cat.companies.join(ids.select("id").distinct(), "id", "left_semi")
-    else:
-        picked = cat.companies.filter(F.col("id").isin(list(ids)))
-    names = cat.categories.select(F.col("id").alias("category_id"), F.col("name").alias("_n"))
-    categories = cat.company_categories.join(names, "category_id").select("company_id", "_n")
-    tag_names = cat.tags.select(F.col("id").alias("tag_id"), F.col("name").alias("_n"))
-    tags = cat.company_tags.join(tag_names, "tag_id").select("company_id", "_n")
-    # one link table after the other: both at once would pair every category with every tag
-    out = with_linked(with_city(picked, cat.cities, slug=True), categories, F.sort_array(F.collect_set("_n")).alias("category_names"))
-    return with_linked(out, tags, F.sort_array(F.collect_set("_n")).alias("tag_names"))
+    """Detail records of a set of companies: the row, its city, category names and tags.
+
+    Link tables are cut to these companies and grouped before they meet the rows, so no row is repeated for each of its links.
+    """
+    def of(df: DataFrame, key: str) -> DataFrame:
+        if isinstance(ids, DataFrame):
+            return df.join(ids.select(F.col("id").alias(key)).distinct(), key, "left_semi")
+        return df.filter(F.col(key).isin(list(ids)))
+
+    def names(links: DataFrame, targets: DataFrame, key: str, out: str) -> DataFrame:
+        named = of(links, "company_id").join(targets.select(F.col("id").alias(key), F.col("name").alias("_n")), key)
+        return named.groupBy(F.col("company_id").alias("id")).agg(F.sort_array(F.collect_set("_n")).alias(out))
+
+    rows = with_city(of(cat.companies, "id"), cat.cities, slug=True)
+    rows = rows.groupBy("id").agg(F.any_value(F.struct(*rows.columns)).alias("_row")).select("_row.*")
+    columns = [F.col(c) for c in rows.columns]
+    for links, targets, key, out in (
+        (cat.company_categories, cat.categories, "category_id", "category_names"),
+        (cat.company_tags, cat.tags, "tag_id", "tag_names"),
+    ):
+        rows = rows.join(names(links, targets, key, out), "id", "left")
+        columns.append(F.coalesce(out, F.array().cast("array<string>")).alias(out))
+    return rows.select(*columns)
 
 
 def company_tags(cat: Catalog) -> DataFrame:
