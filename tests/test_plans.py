@@ -8,8 +8,10 @@ import __spark_entry__ as entry
 from streetbook.fixtures import Fixture
 from streetbook.operators.classify import review_moderated
 from streetbook.operators.browse import company_detail
+from streetbook.operators.menus import menu_decisions, replace_menus
 from streetbook.operators.report import audit
 from streetbook.operators.work import select_quality
+from streetbook.plans.menu_refresh import refresh_menus
 from streetbook.sources.catalog import Catalog
 
 FOLDER = "/root/testdata/sf0.001"
@@ -89,3 +91,72 @@ def test_long_lists_are_ranked_in_parts(spark, span):
     plan = done._jdf.queryExecution().optimizedPlan().toString()
     sorts = [line for line in plan.splitlines() if "Window [" in line and "row_number()" in line]
     assert sorts and all("_part" in line.split("row_number()")[1] for line in sorts)
+
+
+def relations(df):
+    return [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation [" in line]
+
+
+def menu_tables(spark, tmp_path):
+    items = "company_id bigint, section string, pos bigint, name string, price string"
+    made = {
+        "old": (items, [(1, "a", 1, "x", "1"), (2, "a", 1, "x", "1"), (3, "a", 1, "x", "1"), (None, "a", 1, "x", "1"), (4, "a", 1, "x", "1")]),
+        "fresh": (items, [(1, "a", 1, "x", "2"), (1, "a", 2, "y", "2"), (2, "a", 1, "x", "2"), (None, "a", 2, "z", "2"), (5, "a", 1, "x", "2")]),
+        "companies": ("id bigint, name string", [(1, "A"), (2, "B"), (3, "C"), (4, "D"), (5, "E"), (5, "E")]),
+        "read": ("id bigint", [(1,), (2,), (3,), (5,)]),
+    }
+    for name, (schema, rows) in made.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}")
+    return [spark.read.parquet(f"{tmp_path}/{name}") for name in made]
+
+
+def test_decisions_read_each_menu_once(spark, tmp_path):
+    old, fresh, companies, read = menu_tables(spark, tmp_path)
+    log = menu_decisions(companies, old, fresh, read)
+    assert len(relations(log)) == 4
+    assert sorted((r.id, r.status, r.reason) for r in log.collect()) == [
+        (1, "updated", "more_items (+1)"), (2, "skipped", "current_is_better"), (3, "skipped", "no_menu_on_page"),
+        (4, "error", "fetch_failed"), (5, "updated", "more_items (+1)"), (5, "updated", "more_items (+1)"),
+    ]
+
+
+def test_replaced_menus_read_the_decisions_once(spark, tmp_path):
+    old, fresh, companies, read = menu_tables(spark, tmp_path)
+    out = replace_menus(old, fresh, menu_decisions(companies, old, fresh, read))
+    assert len(relations(out)) == 6
+    assert sorted((r.company_id or 0, r.section, r.pos, r.name, r.price) for r in out.collect()) == [
+        (0, "a", 1, "x", "1"), (1, "a", 1, "x", "2"), (1, "a", 2, "y", "2"), (2, "a", 1, "x", "1"), (3, "a", 1, "x", "1"),
+        (4, "a", 1, "x", "1"), (5, "a", 1, "x", "2"),
+    ]
+
+
+def test_refresh_stores_the_listed_companies(spark, tmp_path):
+    menu = "map<string,array<struct<name:string,price:string,portion:string>>>"
+    rows = [(1, "A", "u1", {"a": [("x", "1", None)]}), (2, "B", "u2", {}), (3, "C", None, {"a": [("x", "1", None)]})]
+    spark.createDataFrame(rows, f"id bigint, name string, url string, menu {menu}").write.parquet(f"{tmp_path}/companies")
+    spark.createDataFrame([("u1", "<p>"), ("u2", "<p>")], "url string, html string").write.parquet(f"{tmp_path}/pages")
+    made = refresh_menus(spark.read.parquet(f"{tmp_path}/companies"), spark.read.parquet(f"{tmp_path}/pages"))
+    assert relations(made.log) == []
+    assert [(r.id, r.reason) for r in made.log.collect()] == [(1, "no_menu_on_page")]
+
+
+def test_details_group_links_without_their_company(spark):
+    plan = detail(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "any_value(" in line and "collect_set(" in line]
+    assert plan.count("collect_set(") == 2
+
+
+def test_details_of_rows_that_repeat_or_lack_links(spark):
+    table = spark.createDataFrame
+    cat = Catalog(
+        companies=table([(1, "A", 7), (1, "A", 7), (2, "B", None), (3, "C", 7), (None, "D", 7)], "id long, name string, city_id long"),
+        cities=table([(7, "T", "t"), (7, "T", "t")], "id long, name string, slug string"),
+        categories=table([(1, "c"), (2, "b"), (2, "b"), (3, None)], "id long, name string"),
+        company_categories=table([(1, 1), (1, 2), (1, 2), (2, 3), (3, 9), (None, 1)], "company_id long, category_id long"),
+        tags=table([(5, "t")], "id long, name string"),
+        company_tags=table([(2, 5), (2, 5), (9, 5)], "company_id long, tag_id long"),
+    )
+    want = [(1, "A", "T", ["b", "c"], []), (2, "B", None, [], ["t"])]
+    for ids in ([1, 2], table([(1,), (2,), (2,), (None,), (8,)], "id long")):
+        got = company_detail(cat, ids).select("id", "name", "city_name", "category_names", "tag_names").collect()
+        assert sorted(tuple(r) for r in got) == want
