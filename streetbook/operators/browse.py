@@ -34,9 +34,14 @@ def text_filter(q: str, columns: Sequence[str] = TEXTS) -> Column:
 
 
 def text_index(companies: DataFrame, columns: Sequence[str] = TEXTS) -> DataFrame:
-    """``gram, id``: each run of three characters of a company's texts, once for each company. No shuffle is needed."""
+    """``gram, id``: each run of three characters of a company's texts, once for each company.
+
+    The texts are dealt by id first: cutting them is the work here, and companies often come in a few tasks only. The outer form
+    keeps Spark from adding a filter that would compute the grams again.
+    """
     every = F.array_distinct(F.concat(*[F.coalesce(text_grams(c, GRAM), F.array().cast("array<string>")) for c in columns]))
-    return companies.select(F.explode(every).alias("gram"), "id")
+    dealt = companies.select("id", *columns).repartition("id")
+    return dealt.select(F.explode_outer(every).alias("gram"), "id").filter("gram is not null")
 
 
 def query_grams(q: str) -> list[str]:

@@ -46,3 +46,13 @@ def test_texts_are_looked_at_after_the_join(spark, companies, tmp_path):
     checks = [i for i, line in enumerate(plan) if "LIKE" in line or "Contains(" in line]
     assert checks and max(checks) <= join
     assert "In(gram" in plan[-1] + found._jdf.queryExecution().executedPlan().toString() or "EqualTo(gram,abc)" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grams_are_computed_once(companies):
+    plan = B.text_index(companies)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct(concat(") == 1
+
+
+def test_texts_are_dealt_before_they_are_cut(companies):
+    plan = B.text_index(companies.coalesce(1))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" in plan
