@@ -207,7 +207,8 @@ def match_rules(df: DataFrame, rules: DataFrame, column: str = "name", out: str
     characters, these are joined with the lengths of the keywords that begin so, and the parts of these lengths are joined
     with the keywords themselves. So a text meets only keywords that it holds, however many begin alike. Equal priorities go
     by rule. Blank keywords match nothing, null texts have no rule. Rows that share a text or a keyword are looked up once.
-    Long texts are cut in pieces that overlap by the longest keyword.
+    Long texts are cut in pieces that overlap by the longest keyword. The outer forms keep Spark from computing the arrays again
+    in a filter; the joins drop what is null.
     """
     words = rules.select(F.lower("keyword").alias("_word"), F.struct(F.col("priority").alias("_priority"), F.col("rule").alias("_rule")).alias("_first"))
     words = words.filter("_word <> ''").groupBy("_word").agg(F.min("_first").alias("_first"))
@@ -223,12 +224,12 @@ def match_rules(df: DataFrame, rules: DataFrame, column: str = "name", out: str
     places = F.sequence(F.lit(0), F.floor((F.length("_text") - 1) / PIECE))
     size = F.lit(PIECE + ANCHOR - 1) + F.col("_longest")
     pieces = F.transform(places, lambda k: F.substring("_text", (k * PIECE + 1).cast("int"), size))
-    cut = texts.crossJoin(longest).select("_text", F.explode(pieces).alias("_piece"))
-    found = cut.select("_text", "_piece", F.explode(F.array_distinct(runs(F.col("_piece")))).alias("_anchor")).join(begun, "_anchor")
+    cut = texts.crossJoin(longest).select("_text", F.explode_outer(pieces).alias("_piece"))
+    found = cut.select("_text", "_piece", F.explode_outer(F.array_distinct(runs(F.col("_piece")))).alias("_anchor")).join(begun, "_anchor")
     starts = F.sequence(F.lit(1), F.least(F.length("_piece"), F.lit(PIECE)))
     here = F.filter(starts, lambda i: F.substring("_piece", i, F.length("_anchor")) == F.col("_anchor"))
     parts = F.flatten(F.transform("_lengths", lambda n: F.transform(here, lambda i: F.substring("_piece", i, n))))
-    held = found.select("_text", F.explode(F.array_distinct(parts)).alias("_word")).join(words, "_word")
+    held = found.select("_text", F.explode_outer(F.array_distinct(parts)).alias("_word")).join(words, "_word")
     first = held.groupBy("_text").agg(F.min("_first").alias("_first"))
     joined = df.join(first, F.lower(column) == F.col("_text"), "left")
     return joined.withColumn(out, F.col("_first._rule")).drop("_text", "_first")
