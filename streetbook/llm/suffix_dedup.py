@@ -164,31 +164,45 @@ def nearest_smaller(values: np.ndarray) -> np.ndarray:
 
 
 def common_prefix(parts: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of suffixes ``a`` and ``b``, up to a window; 0 where ``b`` is -1."""
-    out, open_ = np.zeros(len(a), dtype=np.int64), b >= 0
+    """Length of the common prefix of suffixes ``a`` and ``b``, up to a window; 0 where ``b`` is -1.
+
+    Only pairs that are equal so far meet the next part, and bytes are counted only in the part where a pair parts.
+    """
+    out = np.zeros(len(a), dtype=np.int64)
+    open_ = np.flatnonzero(b >= 0)
+    a, b, done = a[open_], b[open_], 0
     for part in parts:
-        diff = (part[a] ^ part[b]).astype(np.uint64)
-        high, low = (np.frexp((x).astype(np.float64))[1] for x in (diff >> np.uint64(32), diff & np.uint64(0xFFFFFFFF)))
-        equal = (8 * part.dtype.itemsize - np.where(high > 0, high + 32, low)) // 8
-        out += np.where(open_, equal, 0)
-        open_ &= diff == 0
+        diff = part[a] ^ part[b]
+        ends = np.flatnonzero(diff)
+        if len(ends):
+            bits = diff[ends].astype(np.uint64)
+            high, low = (np.frexp(x.astype(np.float64))[1] for x in (bits >> np.uint64(32), bits & np.uint64(0xFFFFFFFF)))
+            out[open_[ends]] = done + (8 * part.dtype.itemsize - np.where(high > 0, high + 32, low)) // 8
+            same = np.flatnonzero(diff == 0)
+            open_, a, b = open_[same], a[same], b[same]
+        done += part.dtype.itemsize
+    out[open_] = done
     return out
 
 
 def previous_factors(data: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For suffixes that begin ``at`` the longest factor, up to a window, that also begins in a smaller document."""
+    """For suffixes that begin ``at`` the longest factor, up to a window, that also begins in a smaller document.
+
+    Equal suffixes stay in the order given, which changes no factor; those of small documents are best given first.
+    """
     eight, two = words(data), words(data, ">u2")
+    # the numbers of the first 8 bytes bring nearly all in order at little cost; the rest is for a sort that uses that
+    order = np.argsort(eight[at].astype(np.uint64), kind="stable")
+    order = order[np.argsort(words(data, f"S{WINDOW}")[at[order]], kind="stable")]
+    at = at[order]
     parts = [eight[at + k].astype(np.uint64) for k in range(0, WINDOW - 7, 8)] + [two[at + k].astype(np.uint16) for k in range(WINDOW // 8 * 8, WINDOW, 2)]
-    order = np.lexsort([doc, *parts[::-1]])
     sorted_doc = doc[order]
     before = nearest_smaller(sorted_doc)
     after = len(order) - 1 - nearest_smaller(sorted_doc[::-1])[::-1]
     after = np.where(after >= len(order), -1, after)
-    longest = np.zeros(len(order), dtype=np.int64)
-    for near in (before, after):
-        longest = np.maximum(longest, common_prefix(parts, order, np.where(near >= 0, order[near], -1)))
+    places = np.arange(len(order))
     out = np.empty(len(order), dtype=np.int64)
-    out[order] = longest
+    out[order] = np.maximum(common_prefix(parts, places, before), common_prefix(parts, places, after))
     return out
 
 
@@ -211,6 +225,8 @@ def later_copies(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     later = doc != doc[np.flatnonzero(same)][text]
     kind = 2 * text + later
     kinds, lead, which = np.unique(kind, return_index=True, return_inverse=True)
+    by_doc = np.lexsort([doc[lead], group[lead]])  # within an anchor the small documents first
+    lead = lead[by_doc]
     sorted_runs = runs.take(order[lead])
     counts = sorted_runs.length - WINDOW + 1
     anchor_of = group[lead]
@@ -238,6 +254,7 @@ def later_copies(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         start = stop
     run, first, last = (np.concatenate(x) for x in zip(*marks))
     # each mark of a kind holds for all runs of that kind
+    run = by_doc[run]
     members = np.argsort(which, kind="stable")
     sizes = np.bincount(which, minlength=len(kinds))
     offsets = np.cumsum(sizes) - sizes

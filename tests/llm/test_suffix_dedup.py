@@ -93,6 +93,21 @@ def test_previous_factors_are_the_longest():
     assert S.nearest_smaller(values).tolist() == want
 
 
+@pytest.mark.parametrize("letters", [(0, 1), (0, 255), (97, 97)])
+def test_suffixes_are_sorted_in_few_passes(monkeypatch, letters):
+    """Null bytes and equal suffixes included. No sort by eight keys: it was the dearest step of all."""
+    rng = np.random.default_rng(7)
+    data = np.concatenate([rng.choice(np.array(letters, np.uint8), 300), np.zeros(60, np.uint8)])
+    data = np.concatenate([data, data[:150], np.zeros(60, np.uint8)])
+    at, raw = np.arange(len(data) - 49), data.tobytes()
+    doc = rng.integers(0, 9, len(at))
+    monkeypatch.setattr(np, "lexsort", None)
+    got = S.previous_factors(data, at, doc)
+    same = lambda i, j: next((k for k in range(50) if raw[i + k] != raw[j + k]), 50)
+    for i in range(0, len(at), 7):
+        assert got[i] == max((same(i, j) for j in range(len(at)) if doc[j] < doc[i]), default=0)
+
+
 def test_query_equals_brute_force(spark):
     folder = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
