@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -200,3 +202,21 @@ def test_rendered_pages_are_spread_before_they_are_parsed(spark):
     companies = spark.range(8, numPartitions=1).selectExpr("id", "'u' url", "'1' phone", "'s' address", "'w' website")
     plan = S.rendered_pages(companies)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(id" in plan
+
+
+def test_scanned_pages_are_those_of_the_library_parser():
+    """Odd pieces in random order: what the scanner takes, and where it hands over, gives the tree that the library's parser gives."""
+    pieces = ["<p>", "</P>", "<div class='a  b'>", "</div>", '<a href="x?a=1&amp;b">', "</a >", "<br/>", "<img src=x/>", "<img data-src=q src>",
+              "<i content='' content=z>", "<script>", "</script>", "<style>p>a{}</style>", "</ script>", "<script/>", "a & b", "&lt;", "&#x41;", "&",
+              " < ", ">", "<!DOCTYPE html>", "<!-- c -->", "<!---->", "<!-->", "<!-- a -- > b -->", "<![CDATA[ a ]]>", "<?p ?>", "</>", "<li>", "<tr>",
+              "<td>", "<td", "<a b = c>", "<a b='1'c=2>", '<a b="1', "<a\nB='>'>", "<a:b>", "<h1/ >", "<\u017fcript>", "\x0b"]
+    draw, whole = random.Random(7), 0
+    for _ in range(3000):
+        markup = "".join(draw.choices(pieces, k=draw.randint(1, 8)))
+        scanned, read = H._Trees(), H._Trees()
+        whole += scanned.scan(markup) == len(markup)
+        read.scan = lambda html: 0
+        read.add(markup)
+        assert H._parse(markup) == read.array()[0].as_py(), markup
+    assert whole > 300
+    assert H._Trees().scan(MENU) == len(MENU)
