@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from streetbook.fixtures import Fixture
 from streetbook.operators.classify import review_moderated
 from streetbook.operators.browse import company_detail
-from streetbook.operators.menus import menu_decisions, replace_menus
+from streetbook.operators.menus import compare_menus, menu_decisions, replace_menus
 from streetbook.operators.report import audit
 from streetbook.operators.work import select_quality
 from streetbook.plans.menu_refresh import refresh_menus
@@ -160,3 +160,22 @@ def test_details_of_rows_that_repeat_or_lack_links(spark):
     for ids in ([1, 2], table([(1,), (2,), (2,), (None,), (8,)], "id long")):
         got = company_detail(cat, ids).select("id", "name", "city_name", "category_names", "tag_names").collect()
         assert sorted(tuple(r) for r in got) == want
+
+
+def test_a_section_is_sent_once_to_be_compared(spark, tmp_path):
+    """Menus that are compared are sent by company and section, then by company; rows numbered so are not sent again to be grouped."""
+    rows = spark.range(200).selectExpr("id % 7 company_id", "cast(id % 5 as string) section", "id pos", "cast(id as string) name")
+    plan = compare_menus(rows, rows)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(company_id" in plan and plan.count("Exchange hashpartitioning") == 2
+    tables = {
+        "orders": "SELECT id o_orderkey, id % 3 o_custkey FROM range(20)",
+        "lineitem": "SELECT id % 20 l_orderkey, id % 4 l_partkey, cast(id as int) l_linenumber FROM range(60)",
+        "part": "SELECT id p_partkey, concat('t', id % 2) p_type, concat('n', id) p_name, id + 1.5D p_retailprice FROM range(4)",
+    }
+    for name, sql in tables.items():
+        spark.sql(sql).write.parquet(f"{tmp_path}/{name}.parquet")
+    fx = Fixture(spark, str(tmp_path))
+    assert sorted(fx.menu_old.collect()) == sorted(fx.sql("SELECT * FROM menu_old").collect()) and fx.menu_old.count() == 60
+    grouped = fx.menu_old.groupBy("company_id", "section").count()._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(company_id" in grouped and "hashpartitioning(o_custkey" not in grouped
+    assert grouped.count("hashpartitioning(company_id") == 1
